@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, url_filter
+from . import bpe, chat, packing, url_filter
 
-MODULES = (url_filter, chat)
+MODULES = (bpe, packing, url_filter, chat)
 
 
 def queries() -> dict:
