@@ -21,9 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `most` bytes of `column` each, one row at least."""
+    """The same rows in batches of about `most` bytes of `column` each, one row at least; the column may be a field of `row`."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = pc.fill_null(pc.binary_length(values(batch, column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends, start = np.cumsum(sizes), 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
@@ -32,9 +32,23 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             start = stop
 
 
+def values(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
+    """A column of a batch, or that field of its struct column `row`."""
+    if column in batch.schema.names:
+        return batch.column(column)
+    return pc.struct_field(batch.column("row"), column)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch, '' for null."""
-    return [x or "" for x in batch.column(column).to_pylist()]
+    return [x or "" for x in values(batch, column).to_pylist()]
+
+
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A hint to broadcast `df` where it has at most `most` rows; larger tables join by shuffle. `df` must be cheap to count."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

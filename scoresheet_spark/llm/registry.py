@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, packing, url_filter
+from . import bpe, chat, langid, packing, quality, url_filter
 
-MODULES = (bpe, packing, url_filter, chat)
+MODULES = (bpe, packing, url_filter, quality, chat, langid)
 
 
 def queries() -> dict:
