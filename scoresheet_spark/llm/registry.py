@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, packing, quality, topk, url_filter
+from . import bpe, chat, langid, packing, quality, secrets, topk, url_filter
 
-MODULES = (bpe, packing, url_filter, quality, chat, langid, topk)
+MODULES = (bpe, packing, url_filter, quality, chat, langid, topk, secrets)
 
 
 def queries() -> dict:
