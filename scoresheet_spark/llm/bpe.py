@@ -14,6 +14,7 @@ repeated rows give repeated rows; an empty table gives an empty one; further col
 
 from __future__ import annotations
 
+import gc
 import json
 import unicodedata
 from collections.abc import Iterator, Sequence
@@ -21,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,14 +42,15 @@ def byte_chars() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
-def _lowered(pattern):
-    """NFC, lower case by single characters, then the pattern's matches."""
+def _lowered(pattern: str):
+    """Of chunks without ASCII white space: their words (NFC, lower case by single characters, then the pattern's matches), with a space behind each chunk."""
+    words = regex.compile(pattern + r"|\x20")
 
-    def pieces(chunk: bytes) -> list[str]:
-        text = chunk.decode()
+    def pieces(chunks: Sequence[bytes]) -> list[str]:
+        text = b" ".join(chunks).decode("utf-8", "surrogatepass") + " "
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return pattern.findall(text.lower())
+        return words.findall(text.lower())
 
     return pieces
 
@@ -76,6 +79,9 @@ class BpeCodec:
         keys = pairs[:, 0] * size + pairs[:, 1]
         order = np.argsort(keys, kind="stable")
         self.size, self.keys, self.ranks, self.merged = size, keys[order], order.astype(np.int32), pairs[order, 2].astype(np.int32)
+        # ranks of all pairs of bytes, and of those that end a word
+        left, right = np.divmod(np.arange(65536), 256)
+        self.first, self.tail = self._look_up(self.base[left], self.base[right]), self._look_up(self.base[left], self.last[right])
         back = {c: b for b, c in enumerate(self.chars)}
         self.bytes = [b""] * size
         for token, i in vocab.items():
@@ -91,7 +97,7 @@ class BpeCodec:
             self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         else:
             found = next(p for p in pre["pretokenizers"] if p["type"] == "Split")
-            self.split, self.pieces = _chunks, _lowered(regex.compile(found["pattern"]["Regex"]))
+            self.split, self.pieces = _chunks, _lowered(found["pattern"]["Regex"])
         self.forget()
 
     def forget(self) -> None:
@@ -100,14 +106,19 @@ class BpeCodec:
 
     def merge(self, words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one array, and how many each has. Words are not empty."""
-        sizes = np.array([len(w) for w in words], np.int64)
+        if not words:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
         raw = np.frombuffer(b"".join(words), np.uint8)
         sym = self.base[raw]
         ends = np.cumsum(sizes) - 1
         sym[ends] = self.last[raw[ends]]
         word = np.repeat(np.arange(len(words), dtype=np.int64), sizes)
-        rank, merged = self._look_up(sym[:-1], sym[1:])
-        rank, merged = np.append(rank, _NONE), np.append(merged, np.int32(0))
+        pair = raw[:-1].astype(np.int32) << 8 | raw[1:]
+        rank, merged = np.append(self.first[0][pair], _NONE), np.append(self.first[1][pair], np.int32(0))
+        if self.end and pair.size:
+            tail = ends[sizes > 1] - 1
+            rank[tail], merged[tail] = self.tail[0][pair[tail]], self.tail[1][pair[tail]]
         rank[ends] = _NONE
         done_sym, done_word = [], []
         while sym.size:
@@ -179,23 +190,26 @@ class BpeCodec:
 
     def _learn(self, new: list) -> None:
         """Ids of new table entries: words, chunks of several words, or special tokens."""
-        fresh: dict = {}
-        number = lambda piece: fresh.setdefault(piece, len(fresh))
-        made = [[number(x)] if isinstance(x, tuple) or self.pieces is None else [number(p) for p in self.pieces(x)] for x in new]
-        order = sorted(fresh, key=lambda x: isinstance(x, tuple))
-        plain = [x.encode("utf-8", "surrogatepass") for x in order if isinstance(x, str)]
-        ids, lengths = self.merge(plain) if plain else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-        marks = np.array([x[1] for x in order[len(plain) :]], np.int32)
-        ids, lengths = np.r_[ids, marks], np.r_[lengths, np.ones(marks.size, np.int64)]
-        place = np.empty(len(order), np.int64)
-        place[[fresh[x] for x in order]] = np.arange(len(order))
-        starts = np.cumsum(lengths) - lengths
-        flat = place[np.array([p for m in made for p in m], np.int64)]
-        ends = np.r_[0, np.cumsum(lengths[flat])][np.cumsum([len(m) for m in made])]
-        sizes = np.diff(np.r_[0, ends])
-        self.starts = np.r_[self.starts, self.flat.size + ends - sizes]
-        self.lengths = np.r_[self.lengths, sizes]
-        self.flat = np.r_[self.flat, ids[ragged(starts[flat], lengths[flat])]]
+        marks = [i for i, x in enumerate(new) if isinstance(x, tuple)]
+        plain = [x for x in new if not isinstance(x, tuple)] if marks else new
+        if self.pieces is None:
+            ids, sizes = self.merge([x.encode("utf-8", "surrogatepass") for x in plain])
+        else:
+            number = _Words()
+            number[" "] = 0
+            found = np.array(list(map(number.__getitem__, self.pieces(plain))), np.int64)
+            words, lengths = self.merge([x.encode("utf-8", "surrogatepass") for x in number.new])
+            starts, lengths = np.r_[0, np.cumsum(lengths) - lengths], np.r_[0, lengths]
+            sizes = np.diff(np.r_[0, np.cumsum(lengths[found])[found == 0]])
+            ids = words[ragged(starts[found], lengths[found])]
+        starts = self.flat.size + np.cumsum(sizes) - sizes
+        if marks:
+            at = np.setdiff1d(np.arange(len(new)), marks)
+            all_starts, all_sizes = np.empty(len(new), np.int64), np.ones(len(new), np.int64)
+            all_starts[at], all_sizes[at] = starts, sizes
+            all_starts[marks] = self.flat.size + ids.size + np.arange(len(marks))
+            starts, sizes, ids = all_starts, all_sizes, np.r_[ids, np.array([new[i][1] for i in marks], np.int32)]
+        self.starts, self.lengths, self.flat = np.r_[self.starts, starts], np.r_[self.lengths, sizes], np.r_[self.flat, ids]
 
     def decode(self, ids: Sequence[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -216,7 +230,9 @@ class _Words(dict):
 @lru_cache(maxsize=4)
 def codec(path: str) -> BpeCodec:
     """The codec of a tokenizer file, made once per process."""
-    return BpeCodec(path)
+    made = BpeCodec(path)
+    gc.freeze()  # the tables live as long as the worker
+    return made
 
 
 def vocabulary(name: str) -> str:
@@ -248,7 +264,9 @@ def decode_documents(df: DataFrame, path: str, key: str = "doc_id", ids: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
         for b in batches:
-            decoded = [bpe.decode(x) if x else "" for x in b.column(1).to_pylist()]
+            rows = b.column(1)
+            flat, bounds = rows.flatten().to_numpy(), offsets(pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False))
+            decoded = [bpe.decode(flat[s:e].tolist()) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(decoded, pa.string())], names=[key, "ids", "decoded"])
 
     return rows.mapInArrow(run, schema)
