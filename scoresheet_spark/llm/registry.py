@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, neardup, packing, quality, secrets, topk, url_filter
+from . import bpe, chat, langid, neardup, packing, quality, secrets, substring, topk, url_filter
 
-MODULES = (bpe, packing, url_filter, neardup, secrets, quality, chat, langid, topk)
+MODULES = (bpe, packing, url_filter, neardup, secrets, quality, chat, langid, topk, substring)
 
 
 def queries() -> dict:
