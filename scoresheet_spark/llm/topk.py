@@ -183,8 +183,8 @@ def query_blocks(queries: DataFrame) -> DataFrame:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k best rows of `vectors` for each row of `queries`, both (vec_id, v): query_id, rank, vec_id, score."""
     sizes = vectors.agg(F.count(F.lit(1))).first()[0], queries.agg(F.count(F.lit(1))).first()[0]
-    dealt = vectors.repartition(max(1, -(-sizes[0] // BLOCK_ROWS)), F.xxhash64("vec_id", "v"))
-    asked = queries.repartition(max(1, -(-sizes[1] // BLOCK_QUERIES)), "vec_id")
+    dealt = vectors.repartition(max(1, -(-sizes[0] // BLOCK_ROWS)))  # in turn, so that blocks are full
+    asked = queries.repartition(max(1, -(-sizes[1] // BLOCK_QUERIES)))
     pairs = cut(build_index(dealt)).crossJoin(cut(query_blocks(asked)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
