@@ -1 +1 @@
-
+"""Column functions: text, numbers, geometry."""

@@ -1 +1 @@
-
+"""Dataflows from DataFrame to DataFrame."""

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from . import grading_queries, roster_queries, vision_queries
 
-def FLAGSHIP(spark, sf_dir):
-    return queries()["group_counts"](spark, sf_dir)
+MODULES = (roster_queries, grading_queries, vision_queries)
+FLAGSHIP = grading_queries.grading_responses
 
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: s for m in MODULES for k, s in m.ORACLE.items()}

@@ -1 +1 @@
-
+"""Structured Streaming dataflows."""
