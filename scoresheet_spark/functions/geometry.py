@@ -43,6 +43,11 @@ def upright(x: Column, y: Column, w: Column, h: Column) -> tuple[Column, Column,
     return F.least(x, x + w), F.least(y, y + h), F.abs(w), F.abs(h)
 
 
+def moved(x: Column, y: Column, dx: Column | float, dy: Column | float) -> tuple[Column, Column]:
+    """The same rectangle elsewhere: nudged by keys or dragged."""
+    return x + dx, y + dy
+
+
 def moved_edges(x: Column, y: Column, w: Column, h: Column, edges: Column, dx: Column, dy: Column) -> tuple[Column, Column, Column, Column]:
     """The rectangle with the edges named in `edges` (letters out of l, r, t, b) moved, then made upright."""
     has = lambda e: F.contains(edges, F.lit(e))

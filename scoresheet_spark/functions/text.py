@@ -58,6 +58,15 @@ def clip(c: Column, low: Column | float, high: Column | float) -> Column:
     return F.greatest(low, F.least(c, high))
 
 
+def percent(share: Column) -> Column:
+    """A share as whole percent, ties to even."""
+    return half_even(share * 100)
+
+
+def clock(time: Column) -> Column:
+    return F.date_format(time, "HH:mm:ss")
+
+
 def clamped_step(position: Column, step: int, total: Column) -> Column:
     """The position after a step that stays within 0..total - 1."""
     return clip(position + step, F.lit(0), total - 1)

@@ -1,16 +1,17 @@
 """Hand-made rows for the semantics that decide correctness."""
 
 import json
+import socket
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from scoresheet_spark.functions import geometry, text
-from scoresheet_spark.operators import blueprint, detect, grading, infer, labels, positions, roster
-from scoresheet_spark.sources import config, schemas, workbook
+from scoresheet_spark.operators import autolabel, blueprint, detect, grading, infer, labels, positions, roster
+from scoresheet_spark.sources import config, packets, schemas, workbook
 from scoresheet_spark.sources import labels as files
-from scoresheet_spark.streaming import submissions
+from scoresheet_spark.streaming import log, submissions
 
 
 def one(spark, *columns):
@@ -103,7 +104,10 @@ def test_stream_gives_the_verdicts_of_the_batch(spark, tmp_path):
     submissions.run_to_files(submissions.grade_stream(stream, registry), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     batch = grading.grade(grading.parse_payloads(spark.createDataFrame(rows, "seq long, payload string")), registry)
     assert by(spark.read.parquet(str(tmp_path / "out")), "seq", "verdict", "previous_score") == {s: (v, p if v == "duplicate_id" else None) for s, (v, p) in by(batch, "seq", "verdict", "previous_score").items()}
+    listener = log.ProgressLog()
+    spark.streams.addListener(listener)
     submissions.run_to_files(submissions.accepted_stream(stream, registry), str(tmp_path / "ok"), str(tmp_path / "ok-state")).awaitTermination()
+    spark.streams.removeListener(listener)
     assert spark.read.parquet(str(tmp_path / "ok")).count() == batch.filter("verdict = 'success'").count()
 
 
@@ -241,6 +245,46 @@ def test_inference_runs_a_model_on_the_executors(spark):
     assert infer.rows_of(np.zeros((1, 0, 7))) == []
 
 
+def test_auto_labelling(spark):
+    def load():
+        return lambda t: np.array([[0, 0, 16, 64, 48, 1, 0.9]], np.float32)
+
+    def read(content):
+        return None if content == b"bad" else np.full((20, 40, 3), 128, np.uint8)
+
+    images = spark.createDataFrame([("a.jpg", bytearray(b"ok")), ("b.jpg", bytearray(b"bad")), ("c.jpg", bytearray(b"ok"))], "path string, content binary")
+    filled = spark.createDataFrame([("c.txt", 9), ("a.txt", 0)], "label_path string, length long")
+    got = by(autolabel.auto_label(images, filled, load, read, canvas=(64, 64)), "path", "text")
+    assert got == {"a.jpg": "1 0.487500 0.475000 0.975000 0.950000"}
+    assert set(by(autolabel.auto_label(images, filled, load, read, remaining_only=False, confidence=0.95, canvas=(64, 64)), "path", "text").values()) == {""}
+
+
+def test_templates_are_turned_and_cut(spark):
+    image = np.arange(5 * 7 * 3, dtype=np.uint8).reshape(5, 7, 3)
+    rows = [("p", bytearray(b"x"), 1, 1, 2, 3, 4), ("q", bytearray(b"x"), 0, 90, 0, 3, 4), ("r", bytearray(b"bad"), 0, 0, 0, 1, 1)]
+    df = spark.createDataFrame(rows, "path string, content binary, turns int, x int, y int, w int, h int")
+    got = by(autolabel.cut_templates(df, lambda c: None if c == b"bad" else image, lambda a: a.tobytes()), "path", "template")
+    assert bytes(got["p"]) == np.rot90(image, -1)[2:6, 1:4].tobytes() and got["q"] is None and got["r"] is None
+
+
+def test_packet_server_answers_every_client(spark):
+    students = spark.createDataFrame([("1", "A", 1, "G")], "student_id string, student_name string, is_present int, group_name string")
+    packet = blueprint.master_packet(spark.createDataFrame([("m",)], "mode string"), students, "G")
+    server = packets.PacketServer(packet).start()
+    for _ in range(2):
+        with socket.create_connection(server.address) as client:
+            assert json.loads(client.makefile().readline())["exam_mode"] == "m"
+    server.stop()
+    with pytest.raises(ValueError):
+        packets.PacketServer(blueprint.master_packet(spark.createDataFrame([("m",)], "mode string"), students, "H"))
+
+
+def test_small_functions(spark):
+    assert one(spark, text.percent(F.lit(0.125)), text.clock(F.lit("2024-01-02 03:04:05").cast("timestamp"))) == (12, "03:04:05")
+    assert one(spark, *geometry.moved(F.lit(1), F.lit(2), 10, -1)) == (11, 1)
+    assert one(spark, *roster.essay_grid(F.lit(5))) == (1, 4)
+
+
 # --- blueprints and files
 
 
