@@ -31,7 +31,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, St
 from .common import offsets, ragged, slices, table, texts
 
 #: Words that a worker remembers; beyond that the table starts anew.
-MAX_WORDS = 500_000
+MAX_WORDS = 250_000
 _NONE = np.int32(2**31 - 1)
 
 
