@@ -4,7 +4,8 @@ Each document gets counts of its words, lines and symbols, and from them scores
 (high is bad). A rule's cutoff within a stratum (the document's language) comes from labelled holdouts: the
 cutoffs of a fixed grid are tried from the most lenient one on, and a cutoff stays as long as an exact
 binomial test says that it rejects at most a share `risk` of the good documents of its stratum. Testing in
-fixed order stops at the first failure, so that the tests of one rule need no correction among them; the
+fixed order stops at the first failure, so that the tests of one rule need no correction among them, and any cutoff
+that passed may be used: the most lenient one that rejects the most bad documents net of good ones is. The
 rules of all strata share the error `delta` by Bonferroni's correction, and the risk is shared by the rules.
 With probability 1 - delta no stratum loses more than `risk` of its good documents to the rules.
 
@@ -134,34 +135,39 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, total)
 
 
-def strictest_step(rejected: dict[int, int], n: int, risk: float, delta: float) -> int:
-    """The last grid step in fixed order whose false rejections are shown to be at most `risk` of n; -1 if none.
+def certified_step(good: dict[int, int], bad: dict[int, int], n: int, risk: float, delta: float) -> int:
+    """The grid step to cut at; -1 for none.
 
-    `rejected` has how many good documents a step rejects and the step before it does not.
+    `good` and `bad` have how many good and bad documents a step rejects and the step before it does not. Steps are
+    certified in fixed order as long as their false rejections are shown to be at most `risk` of the `n` good
+    documents; of those, the first counts that rejects the most bad documents net of good ones.
     """
-    best, total = -1, 0
+    best, most, false, true = -1, 0, 0, 0
     for step in range(1, GRID + 1):
-        total += rejected.get(step, 0)
-        if n == 0 or binomial_tail(total, n, risk) > delta:
+        false += good.get(step, 0)
+        true += bad.get(step, 0)
+        if n == 0 or binomial_tail(false, n, risk) > delta:
             break
-        best = step
+        if true - false > most:
+            best, most = step, true - false
     return best
 
 
 def fit_cutoffs(counts: DataFrame, labels: DataFrame, strata: str = "lang", key: str = "doc_id", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """(stratum, one column of grid steps for each rule) from the labelled documents that pass the base rule."""
+    """(stratum, one column of grid steps for each rule) from the labelled documents that pass the base rule. Labels are 1 (good) and 0."""
     said = labels.filter(F.col("quality").isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min("quality").alias("_quality"))
-    good = counts.filter(~F.col("base_failed")).select(F.col(key).alias("_key"), F.col(strata).alias("stratum"), *(grid_step(s).alias(r) for r, s in rule_scores(F.col).items()))
-    good = good.join(said.filter("_quality = 1"), "_key")
-    each = good.select("stratum", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("step")) for r in RULES))).alias("x")).select("stratum", "x.*")
-    seen = each.groupBy("stratum", "rule", "step").agg(F.count(F.lit(1)).alias("n"))  # strata x rules x grid rows
+    rows = counts.filter(~F.col("base_failed")).select(F.col(key).alias("_key"), F.col(strata).alias("stratum"), *(grid_step(s).alias(r) for r, s in rule_scores(F.col).items()))
+    rows = rows.join(said, "_key")
+    each = rows.select("stratum", "_quality", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("step")) for r in RULES))).alias("x")).select("stratum", "_quality", "x.*")
+    counted = [F.count(F.when(F.col("_quality") == q, 1)).alias(name) for q, name in ((1, "good"), (0, "bad"))]
+    seen = each.groupBy("stratum", "rule", "step").agg(*counted)  # strata x rules x grid rows
     n_tests = F.count_distinct(F.coalesce(F.concat(F.lit("="), "stratum"), F.lit(""))) * len(RULES)
     tests = seen.agg(n_tests.alias("n_tests"))
-    found = seen.groupBy("stratum", "rule").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("step", "n"))).alias("rejected")).crossJoin(F.broadcast(tests))
+    found = seen.groupBy("stratum", "rule").agg(F.sum("good").alias("n"), *(F.map_from_entries(F.collect_list(F.struct("step", c))).alias(c) for c in ("good", "bad"))).crossJoin(F.broadcast(tests))
 
     def cutoffs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            steps = [strictest_step({k: v for k, v in x["rejected"] if k >= 1}, x["n"], risk / len(RULES), delta / x["n_tests"]) for x in b.to_pylist()]
+            steps = [certified_step(dict(x["good"]), dict(x["bad"]), x["n"], risk / len(RULES), delta / x["n_tests"]) for x in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("stratum"), b.column("rule"), pa.array(steps, pa.int32())], names=["stratum", "rule", "cutoff"])
 
     rows = found.mapInArrow(cutoffs, f"stratum {counts.schema[strata].dataType.simpleString()}, rule string, cutoff int")

@@ -215,10 +215,11 @@ def test_cutoffs_hold_the_risk():
     population = np.minimum(quality.GRID, np.floor((1 - steps) * quality.GRID) + 1).astype(int)
     for _ in range(200):
         holdout = rng.choice(population, 600)
-        cut = quality.strictest_step(Counter(holdout.tolist()), 600, risk, delta)
+        cut = quality.certified_step(Counter(holdout.tolist()), dict.fromkeys(range(65), 10**6), 600, risk, delta)
         broken += cut >= 1 and (population <= cut).mean() > risk
     assert broken <= 200 * delta * 1.5
-    assert quality.strictest_step({}, 0, risk, delta) == -1 and quality.strictest_step({64: 20}, 20, risk, delta) == -1
+    assert quality.certified_step({}, {1: 5}, 0, risk, delta) == -1 and quality.certified_step({64: 20}, {1: 5}, 20, risk, delta) == -1
+    assert quality.certified_step({64: 900}, {}, 900, risk, delta) == -1 and quality.certified_step({9: 2, 64: 900}, {3: 5, 9: 1}, 902, risk, delta) == 3
 
 
 def test_rules_reject_what_labels_tell_apart(spark):
