@@ -82,6 +82,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame, rows: int = 20_000) -> tuple[DataFrame, int]:
+    """The rows in a checkpoint, and how many they are: read in a partition for each `rows` of them, so that rounds over little data make few files."""
+    out = cut(df)
+    n = out.count()
+    return out.coalesce(max(1, -(-n // rows))), n
+
+
 U64 = np.uint64
 
 
