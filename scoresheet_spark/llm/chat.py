@@ -5,11 +5,9 @@ A conversation is a log of events: `message` (a whole turn), `delta` (text appen
 partitioned by conversation, sorted by sequence number and folded into the final messages, which are
 rendered with a template that marks turns and escapes every control string inside roles and texts.
 
-Events are streamed: Spark partitions and sorts them (spilling where needed), a worker holds one turn and
-a list of edits at a time, and a long conversation leaves as many parts as it needs. So no conversation,
-however large, is gathered in memory. Edits and regenerations concern turns that came before them, so a
-first streaming pass with the events of later turns in front is not needed: each event names its target
-turn and is sorted to it.
+Events are streamed: Spark partitions and sorts them (spilling where needed), by conversation, by the turn
+that an event acts on, and by sequence. So a worker holds one turn at a time, and a long conversation leaves
+as many parts as it needs: no conversation, however large, is gathered in memory.
 
 Edge cases: a null text is '', a null role is '', a null event is a message. Null sequence numbers sort
 first, ties by role and text; repeated rows are events of their own. Rows whose conversation is null form
