@@ -5,7 +5,7 @@ zero bits. Cuts depend on the bytes around them alone, so an insertion moves no
 and a shared passage has the same chunks in every text. Chunks are told apart by digest: a chunk is a repeat
 if a document with a smaller key has it, or the same document earlier on. Chunks under 16 bytes carry no
 evidence of their own; they continue a run of repeats but do not begin or end one. Runs of repeats with at
-least 20 words are removed: a passage of 50 words keeps that much even where the chunks at its ends also
+least 25 words are removed: a passage of 50 words keeps that much even where the chunks at its ends also
 hold other text, and the lines that unrelated documents commonly share stay.
 
 Each document sends a digest once. Counts are summed on the map side, so a passage that a third of all
@@ -33,7 +33,7 @@ from .common import U64, mix64, slices, table, texts, values
 #: Bytes that the gear hash sees, its leading zero bits at a cut, least bytes of a chunk that is evidence.
 WINDOW, ZERO_BITS, LEAST_BYTES = 16, 5, 16
 #: Least words of a run of repeats that is removed.
-MIN_WORDS = 20
+MIN_WORDS = 25
 
 GEAR = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
