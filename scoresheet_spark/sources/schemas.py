@@ -33,3 +33,14 @@ def create_store(spark: SparkSession, database: str | None = None, names: tuple[
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     for name in names:
         spark.sql(f"CREATE TABLE IF NOT EXISTS {prefix}{name} ({SCHEMAS[name].replace(' NOT NULL', '')}) USING parquet")
+
+
+def register(tables: dict[str, DataFrame]) -> None:
+    """Temporary views of tables by name, for `query`."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+
+
+def query(spark: SparkSession, text: str, **values: object) -> DataFrame:
+    """A SQL query with named parameters (`:group`), which are bound and never pasted into the text."""
+    return spark.sql(text, args=values)

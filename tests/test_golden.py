@@ -338,6 +338,12 @@ def test_store_is_made_once(spark):
     spark.sql("DROP DATABASE store_test CASCADE")
 
 
+def test_sql_with_bound_values(spark):
+    schemas.register({"roster": spark.createDataFrame([("1", "A", 1, "G'"), ("2", "B", 1, "H")], schemas.SCHEMAS["roster"])})
+    got = schemas.query(spark, "SELECT student_id AS ID FROM roster WHERE group_name = :group", group="G'")
+    assert [r.ID for r in got.collect()] == ["1"]
+
+
 def test_ranges_and_steps(spark):
     bad = one(spark, text.range_checks({"mcq_count": F.lit(151), "mcq_points": F.lit(0.75), "confidence": F.lit(0.5)}))[0]
     assert bad == ["mcq_count", "mcq_points"]
