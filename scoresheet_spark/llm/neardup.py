@@ -9,17 +9,16 @@ a document stops as soon as all coordinates have one: long documents need few ra
 Two documents agree in a coordinate with the probability of their weighted Jaccard similarity. Bands of
 coordinates make buckets. Texts with the same words form one class before that. In a bucket every member is
 compared with a leader, the member that meets most others; similarities are exact, over the shingles.
-Members that the leader turns down, and that are in no class with it by other ways, stay: buckets of a bounded
-few of them compare each with each, in larger ones members part into the buckets of those that also agree in a
-further band, where this starts anew. So nobody is dropped, and no large bucket emits all its pairs. Links
+Members that the leader turns down, and that are in no class with it by other ways, part by the rare shingles
+that similar texts must share (the prefix of a text's shingles in order of frequency): leaders again first, then
+each with each across classes, in blocks of a bounded number of members, so that no pair is dropped. Links
 become classes by contraction of stars in Spark; only counters reach the driver, and each round ends in a
 checkpoint.
 
 Edge cases: a document without words is its own class; one with fewer than five words is one shingle of all
 of them; repeated rows are copies; a null key groups under its content as others do; an empty table gives no
 rows; texts are read whole; further columns are not read; rows that share a key share a class. A pair at the
-threshold of 0.8 shares no band, and goes unseen, with probability (1 - 0.8**5)**25 = 0.00005; in buckets that
-part, no two bands within REACH with probability 0.007.
+threshold of 0.8 shares no band, and goes unseen, with probability (1 - 0.8**5)**25 = 0.00005.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, mix64, offsets, ragged, settled, slices, small, table, texts
@@ -38,10 +37,8 @@ from .common import U64, mix64, offsets, ragged, settled, slices, small, table,
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 5
 #: First strip of ranks, for one unit of weight: [0, 2**FIRST); each further strip doubles what is covered, up to WIDEST at once.
 FIRST, WIDEST = -6, 16.0
-#: Members of a bucket that are compared each with each, while there are further bands and when there are none.
-SMALL_BUCKET, LAST_BUCKET = 16, 512
-#: Bands ahead that part a large bucket, in a circle of 25: of six bands two are as near, of five nearly always.
-REACH = 4
+#: Members of a block; two blocks of a bucket are compared each with each at once.
+SMALL_BUCKET = 256
 #: Darts thrown at once, about.
 _GROUP_DARTS = 300_000
 _TINY = 1.0 / 2**53
@@ -226,13 +223,48 @@ def _leaders(entries: DataFrame) -> DataFrame:
     return best.filter("n > 1").select("bucket", (-F.col("m.minus")).alias("leader"))
 
 
-def _refined(entries: DataFrame, bands: DataFrame) -> DataFrame:
-    """Entries in the buckets of members that agree in one more of the next REACH bands, in a circle and once around; as they are at its end."""
-    more = entries.join(bands, "doc")
-    ahead = F.sequence(F.lit(1), F.least(F.lit(REACH), F.size("bands") - 1 - F.col("span")))
-    each = more.select("bucket", "doc", "degree", F.explode(F.when(F.col("span") < F.size("bands") - 1, ahead).otherwise(F.array(F.lit(0)))).alias("d"), "last", "span", "bands")
-    at = F.pmod(F.col("last") + F.col("d"), F.size("bands"))
-    return each.select(F.when(F.col("d") == 0, F.col("bucket")).otherwise(F.xxhash64("bucket", at, F.get("bands", at))).alias("bucket"), at.alias("last"), (F.col("span") + F.col("d")).alias("span"), "doc", "degree")
+def _ranked(sets: DataFrame) -> DataFrame:
+    """(bucket, doc, at, size): the prefix of every text's shingles, those that fewest texts have first, of shingles in two prefixes or more.
+
+    Two texts of sizes m <= n that reach SIMILARITY share m * SIMILARITY shingles at least, and so one of the first
+    m - m * SIMILARITY + 1 of each: this parts texts without losing a pair.
+    """
+    each = sets.select("doc", F.explode("elements").alias("bucket"))
+    often = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("often"))
+    ranked = each.join(often, "bucket").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("often", "bucket"))).alias("all"))
+    size = F.size("all")
+    prefix = F.slice("all", F.lit(1), size - F.ceil(SIMILARITY * size - 1e-6).cast("int") + 1)
+    out = ranked.select("doc", size.alias("size"), F.posexplode(prefix).alias("at", "x")).filter("x.often > 1")
+    return out.select("x.bucket", "doc", "at", "size")
+
+
+def _mixed(entries: DataFrame, classes: DataFrame) -> DataFrame:
+    """`entries` with the class of each (`own`) and the number of members (`n`), of buckets that hold more than one class."""
+    owned = entries.join(classes.withColumnRenamed("node", "doc"), "doc", "left").withColumn("own", F.coalesce("class", "doc")).drop("class")
+    sizes = owned.groupBy("bucket").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count(F.lit(1)).alias("n"))
+    return owned.join(sizes.filter("lo < hi").select("bucket", "n"), "bucket")
+
+
+def _open(entries: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of buckets that are not one class, but for those that are in one class with the leader."""
+    mixed = _mixed(entries, classes)
+    heads = _leaders(entries).join(mixed.select("bucket", F.col("doc").alias("leader"), F.col("own").alias("led")), ["bucket", "leader"])
+    return mixed.join(heads, "bucket").filter("own <> led")
+
+
+def _across(entries: DataFrame, turn: int) -> tuple[DataFrame, Column]:
+    """(a, b): pairs of different classes that may reach SIMILARITY, of members whose blocks lie `turn` apart in a circle; and whether more turns follow.
+
+    A bucket has as many blocks as make SMALL_BUCKET members each, so that a task gets two blocks and not a bucket.
+    """
+    blocks = F.ceil(F.col("n") / SMALL_BUCKET).cast("int")
+    dealt = entries.withColumn("blocks", blocks).filter(F.col("blocks") >= 2 * turn).withColumn("block", F.pmod(F.xxhash64("doc"), "blocks"))
+    other = dealt.select("bucket", F.pmod(F.col("block") - turn, "blocks").alias("block"), F.col("doc").alias("d"), F.col("own").alias("o"), F.col("at").alias("t"), F.col("size").alias("s"))
+    before = F.least("at", "t") + 1
+    most = before + F.least(F.col("size") - F.col("at"), F.col("s") - F.col("t")) - 1  # shingles they can share, as this one is at these places
+    may = most >= SIMILARITY / (1 + SIMILARITY) * (F.col("size") + F.col("s")) - 1e-6
+    pairs = dealt.join(other, ["bucket", "block"]).filter((F.col("own") != F.col("o")) & may)
+    return pairs.select(F.least("doc", "d").alias("a"), F.greatest("doc", "d").alias("b")).distinct(), F.max("blocks") >= 2 * (turn + 1)
 
 
 def find_links(signed: DataFrame, docs: DataFrame, key: str) -> DataFrame:
@@ -241,36 +273,53 @@ def find_links(signed: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     `signed` has (key, bands) of each representative and `docs` their texts.
     """
     bands = signed.select(F.col(key).alias("doc"), "bands")
-    exploded = bands.select("doc", F.posexplode("bands").alias("last", "band")).select(F.xxhash64("last", "band").alias("bucket"), "last", "doc")
+    exploded = bands.select("doc", F.posexplode("bands").alias("at", "band")).select(F.xxhash64("at", "band").alias("bucket"), "doc")
     shared = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     entries, _ = settled(exploded.join(shared, "bucket"))
     degrees, _ = settled(entries.groupBy("doc").agg(F.sum(F.col("n") - 1).alias("degree")))
-    entries, _ = settled(entries.drop("n").join(degrees, "doc").select("bucket", "last", F.lit(0).alias("span"), "doc", "degree"))
-    sets, _ = settled(shingle_sets(docs.join(small(degrees.select(F.col("doc").alias(key))), key, "left_semi"), key), 2_000)
+    entries, _ = settled(entries.drop("n").join(degrees, "doc").select("bucket", "doc", "degree"))
+    sets, _ = settled(shingle_sets(docs.join(small(degrees.select(F.col("doc").alias(key))), key, "left_semi"), key).withColumnRenamed(key, "doc"), 2_000)
     none = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
-    classes, turned_down, extra = none.toDF("node", "class"), none, none
-    while True:
-        led = entries.join(_leaders(entries), "bucket")
-        pairs = led.filter("doc <> leader").select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).unionByName(extra).distinct()
+    classes, turned_down = none.toDF("node", "class"), none
+
+    def join(pairs: DataFrame) -> int:
+        """Test pairs that were not tested and let those that are similar join their classes; how many were."""
+        nonlocal classes, turned_down
         tested, _ = settled(verified(pairs.join(turned_down, ["a", "b"], "left_anti"), sets))
         turned_down = turned_down.unionByName(tested.filter(~F.col("similar")).select("a", "b"))
-        if tested.filter("similar").limit(1).count():
-            links = tested.filter("similar").select("a", "b").unionByName(classes.filter("node <> class").toDF("a", "b"))
-            classes, _ = settled(components(links))
-        # open entries: neither leader nor in one class with the leader of their bucket
-        own = led.join(classes.withColumnRenamed("node", "doc"), "doc", "left").withColumn("own", F.coalesce("class", "doc")).drop("class")
-        both = own.join(classes.toDF("leader", "led"), "leader", "left").filter((F.col("doc") != F.col("leader")) & (F.col("own") != F.coalesce("led", "leader")))
-        left = both.select("bucket", "last", "span", "doc", "degree", "own")
-        sizes = left.groupBy("bucket").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("bucket", "n")
-        left, n = settled(left.join(sizes, "bucket"))
+        found = tested.filter("similar").select("a", "b")
+        n = found.count()
+        if n:
+            classes, _ = settled(components(found.unionByName(classes.filter("node <> class").toDF("a", "b"))))
+        return n
+
+    def with_leaders(entries: DataFrame) -> DataFrame:
+        led = entries.join(_leaders(entries), "bucket").filter("doc <> leader")
+        if "own" in entries.columns:
+            led = led.join(classes.toDF("leader", "led"), "leader", "left").filter("own <> coalesce(led, leader)")
+        return led.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
+
+    join(with_leaders(entries))
+    # those in a bucket that is not one class by now
+    left = _open(entries, classes)
+    left, n = settled(left.select("doc").distinct())
+    if not n:
+        return classes
+    ranked, _ = settled(_ranked(sets.join(small(left), "doc", "left_semi")))
+    ranked = ranked.withColumn("degree", -F.col("at"))
+    while True:  # families that lie apart in a bucket of bands have rare shingles of their own
+        mixed, n = settled(_mixed(ranked, classes))
         if not n:
             return classes
-        # few members are compared each with each; many part by one band more
-        is_few = F.col("n") <= F.when(F.col("span") < F.lit(BANDS - 1), SMALL_BUCKET).otherwise(LAST_BUCKET)
-        few = left.filter(is_few).select("bucket", "doc", "own")
-        other = few.toDF("bucket", "b", "other")
-        extra, _ = settled(few.join(other, "bucket").filter((F.col("doc") < F.col("b")) & (F.col("own") != F.col("other"))).select(F.col("doc").alias("a"), "b").distinct())
-        entries, _ = settled(_refined(left.filter(~is_few).drop("n", "own"), bands))
+        if not join(with_leaders(mixed)):
+            break
+    turn = 0
+    while True:
+        pairs, more = _across(mixed, turn)
+        join(pairs)
+        if not mixed.withColumn("blocks", F.ceil(F.col("n") / SMALL_BUCKET)).agg(more).first()[0]:
+            return classes
+        turn += 1
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -94,6 +94,38 @@ def test_classes_equal_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(brute_classes(rows))
 
 
+def family(n, size, edits, rng):
+    """A text of `size` words and `n` copies with `edits` words replaced, `size` / `edits` apart."""
+    base = words_of(rng, size)
+    out = [base]
+    for i in range(n):
+        w = list(base)
+        for j in range(edits):
+            w[j * size // edits + 7] = f"e{i}x{j}"
+        out.append(w)
+    return out
+
+
+def one_bucket(monkeypatch):
+    """All texts share one band and no other: what a leader turns down has no second chance there."""
+    true_sign = neardup.sign
+
+    def sign(docs, *a, **k):
+        hashed = F.xxhash64("doc_id")
+        return true_sign(docs, *a, **k).withColumn("bands", F.when(F.size("bands") > 0, F.array(F.lit(1).cast("bigint"), *(hashed + i for i in range(1, 25)))))
+
+    monkeypatch.setattr(neardup, "sign", sign)
+
+
+def test_large_buckets_lose_no_pair(spark, monkeypatch):
+    one_bucket(monkeypatch)
+    rng = random.Random(11)
+    rows = [" ".join(w) for _ in range(20) for w in family(1, 100, 1, rng)]
+    rows = list(enumerate(rows))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, ROWS)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_classes(rows))
+
+
 def test_near_duplicates_on_edges(spark):
     got = Counter((r[0], r[1]) for r in neardup.near_duplicates(edges(spark, "class_id")).collect())
     assert got == Counter({(1, 1): 1, (None, None): 2, (2, 2): 1, (3, 3): 2, (4, 4): 1, (5, 5): 1})
