@@ -9,9 +9,10 @@ a document stops as soon as all coordinates have one: long documents need few ra
 Two documents agree in a coordinate with the probability of their weighted Jaccard similarity. Bands of
 coordinates make buckets. Texts with the same words form one class before that. In a bucket every member is
 compared with a leader, the member that meets most others; similarities are exact, over the shingles.
-Members that the leader turns down, and that are in no class with it by other ways, part by the rare shingles
-that similar texts must share (the prefix of a text's shingles in order of frequency): leaders again first, then
-each with each across classes, in blocks of a bounded number of members, so that no pair is dropped. Links
+Buckets that are no single class then hold pairs not yet tested, of members that the leader turned down or took.
+All members of these part by the rare shingles that similar texts must share (the prefix of a text's shingles in
+order of frequency): leaders again first, then each with each across classes, in blocks of a bounded number of
+members, so that no pair is dropped. Links
 become classes by contraction of stars in Spark; only counters reach the driver, and each round ends in a
 checkpoint.
 
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, mix64, offsets, ragged, settled, slices, small, table, texts
@@ -245,26 +246,21 @@ def _mixed(entries: DataFrame, classes: DataFrame) -> DataFrame:
     return owned.join(sizes.filter("lo < hi").select("bucket", "n"), "bucket")
 
 
-def _open(entries: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of buckets that are not one class, but for those that are in one class with the leader."""
-    mixed = _mixed(entries, classes)
-    heads = _leaders(entries).join(mixed.select("bucket", F.col("doc").alias("leader"), F.col("own").alias("led")), ["bucket", "leader"])
-    return mixed.join(heads, "bucket").filter("own <> led")
+def _across(entries: DataFrame, blocks: int, turn: int) -> DataFrame:
+    """(a, b): pairs of different classes that may reach SIMILARITY, of members whose blocks lie `turn` apart in a circle of `blocks`.
 
-
-def _across(entries: DataFrame, turn: int) -> tuple[DataFrame, Column]:
-    """(a, b): pairs of different classes that may reach SIMILARITY, of members whose blocks lie `turn` apart in a circle; and whether more turns follow.
-
-    A bucket has as many blocks as make SMALL_BUCKET members each, so that a task gets two blocks and not a bucket.
+    A task gets two blocks of a bucket and not all of it. A pair comes in one turn, with all that its prefixes share:
+    beyond the last of that, it can share no more than what is left of the shorter rest.
     """
-    blocks = F.ceil(F.col("n") / SMALL_BUCKET).cast("int")
-    dealt = entries.withColumn("blocks", blocks).filter(F.col("blocks") >= 2 * turn).withColumn("block", F.pmod(F.xxhash64("doc"), "blocks"))
-    other = dealt.select("bucket", F.pmod(F.col("block") - turn, "blocks").alias("block"), F.col("doc").alias("d"), F.col("own").alias("o"), F.col("at").alias("t"), F.col("size").alias("s"))
-    before = F.least("at", "t") + 1
-    most = before + F.least(F.col("size") - F.col("at"), F.col("s") - F.col("t")) - 1  # shingles they can share, as this one is at these places
+    dealt = entries.withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(blocks)))
+    other = dealt.select("bucket", F.pmod(F.col("block") - turn, F.lit(blocks)).alias("block"), F.col("doc").alias("d"), F.col("own").alias("o"), F.col("at").alias("t"), F.col("size").alias("s"))
+    # at no distance, and halfway around, a pair would come twice
+    once = (F.col("doc") < F.col("d")) if 2 * turn % blocks == 0 else F.lit(True)
+    pairs = dealt.join(other, ["bucket", "block"]).filter((F.col("own") != F.col("o")) & once)
+    shared = pairs.groupBy("doc", "d", "size", "s").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("at"), F.max("t").alias("t"))
+    most = F.col("n") + F.least(F.col("size") - F.col("at"), F.col("s") - F.col("t")) - 1
     may = most >= SIMILARITY / (1 + SIMILARITY) * (F.col("size") + F.col("s")) - 1e-6
-    pairs = dealt.join(other, ["bucket", "block"]).filter((F.col("own") != F.col("o")) & may)
-    return pairs.select(F.least("doc", "d").alias("a"), F.greatest("doc", "d").alias("b")).distinct(), F.max("blocks") >= 2 * (turn + 1)
+    return shared.filter(may).select(F.least("doc", "d").alias("a"), F.greatest("doc", "d").alias("b"))
 
 
 def find_links(signed: DataFrame, docs: DataFrame, key: str) -> DataFrame:
@@ -301,8 +297,7 @@ def find_links(signed: DataFrame, docs: DataFrame, key: str) -> DataFrame:
 
     join(with_leaders(entries))
     # those in a bucket that is not one class by now
-    left = _open(entries, classes)
-    left, n = settled(left.select("doc").distinct())
+    left, n = settled(_mixed(entries, classes).select("doc").distinct())
     if not n:
         return classes
     ranked, _ = settled(_ranked(sets.join(small(left), "doc", "left_semi")))
@@ -313,13 +308,10 @@ def find_links(signed: DataFrame, docs: DataFrame, key: str) -> DataFrame:
             return classes
         if not join(with_leaders(mixed)):
             break
-    turn = 0
-    while True:
-        pairs, more = _across(mixed, turn)
-        join(pairs)
-        if not mixed.withColumn("blocks", F.ceil(F.col("n") / SMALL_BUCKET)).agg(more).first()[0]:
-            return classes
-        turn += 1
+    blocks = -(-mixed.agg(F.max("n")).first()[0] // SMALL_BUCKET)
+    for turn in range(blocks // 2 + 1):
+        join(_across(mixed, blocks, turn))
+    return classes
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -126,6 +126,24 @@ def test_large_buckets_lose_no_pair(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(brute_classes(rows))
 
 
+def test_turned_down_members_meet_accepted_ones(spark, monkeypatch):
+    one_bucket(monkeypatch)
+    rng = random.Random(12)
+    base = words_of(rng, 200)
+    # a chain: each text has three more words edited than the one before, its ends are not similar
+    chain = [list(base)]
+    for i in range(12):
+        w = list(chain[-1])
+        for j in range(3):
+            w[(i * 3 + j) * 5 + 4] = f"c{i}x{j}"
+        chain.append(w)
+    rows = list(enumerate(" ".join(w) for w in chain))
+    want = brute_classes(rows)
+    assert {c for _, c in want} == {0}
+    got = neardup.near_duplicates(spark.createDataFrame(rows, ROWS)).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_near_duplicates_on_edges(spark):
     got = Counter((r[0], r[1]) for r in neardup.near_duplicates(edges(spark, "class_id")).collect())
     assert got == Counter({(1, 1): 1, (None, None): 2, (2, 2): 1, (3, 3): 2, (4, 4): 1, (5, 5): 1})
