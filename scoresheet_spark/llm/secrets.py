@@ -36,15 +36,20 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-
 WINDOW = 20
 #: Class, pattern of the whole candidate, bits a character that a window must have.
 CLASSES = (("entropy_hex", "^[0-9A-Fa-f]+$", 3.0), ("entropy_base64", "", 3.7))
-#: Candidates that are not secrets; fixed values.
+#: Words as in names and paths: letters in humps of a capital and two small letters or more, or all capitals; with a short number.
+_WORD = r"(?:[A-Z]?[a-z]{2,}+(?:[A-Z][a-z]{2,}+)*+|[A-Z]++|[a-z])[0-9]{0,4}+"
+_NAME = rf"(?:{_WORD}|[0-9]{{1,4}}+)(?:[-_=+]++(?:{_WORD}|[0-9]{{1,4}}+))*+[-_=+]*+"
+#: Candidates that are not secrets; fixed values. Placeholder words and slashes count only where all of the value is made of words.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)(example|placeholder|changeme|dummy|sample)",
+    rf"^(?=.*(?i:example|placeholder|changeme|dummy|sample))/*+{_NAME}(?:/++{_NAME})*+/*+$",
     r"^[a-z]+([_/=-][a-z]+)*[_/=-]?[0-9]{1,4}$",
     r"^(abcdefghij|0123456789|ABCDEFGHIJ)",
-    r"/[^/]*/[^/]*/",
+    rf"^(?=(?:[^/]*+/){{3}})/*+{_NAME}(?:/++{_NAME})*+/*+$",
 )
 BLOCK = 256
+#: Characters of a candidate whose windows are counted in one go.
+PIECE = 64
 
 
 def _starts(sizes: Column) -> Column:
@@ -73,7 +78,12 @@ def _matches(df: DataFrame, pattern: str, group: int, name: str) -> DataFrame:
 
 
 def _entropy(hit: Column) -> Column:
-    """The greatest Shannon entropy, in bits, of a window over the string."""
+    """The greatest Shannon entropy, in bits, of a window over the string: in pieces that overlap by all but one of a window's characters, as a step costs a piece's length."""
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(hit) - WINDOW), F.lit(PIECE - WINDOW + 1))
+    return F.array_max(F.transform(starts, lambda i: _piece_entropy(F.substring(hit, i + 1, F.lit(PIECE)))))
+
+
+def _piece_entropy(hit: Column) -> Column:
     weight = F.array(*(F.lit(0.0 if c < 2 else c * math.log2(c)) for c in range(WINDOW + 2)))
     w = lambda c: F.element_at(weight, c + 1)
     codes = F.transform(F.split(hit, ""), lambda ch: F.instr(F.lit(ALPHABET), ch))
