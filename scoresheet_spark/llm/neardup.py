@@ -17,9 +17,11 @@ become classes by contraction of stars in Spark; only counters reach the driver,
 checkpoint.
 
 Edge cases: a document without words is its own class; one with fewer than five words is one shingle of all
-of them; repeated rows are copies; a null key groups under its content as others do; an empty table gives no
-rows; texts are read whole; further columns are not read; rows that share a key share a class. A pair at the
-threshold of 0.8 shares no band, and goes unseen, with probability (1 - 0.8**5)**25 = 0.00005.
+of them; repeated rows are copies, and one of them stays; a null key groups under its content as others do, and
+is a class's key only where no other is; rows that share a key and no content are documents of their own, each
+in its class; keys are integers, or strings of them; an empty table gives no rows; texts are read whole; further
+columns, dots in their names included, are not read and kept by `keep_first`. A pair at the threshold of 0.8
+shares no band, and goes unseen, with probability (1 - 0.8**5)**25 = 0.00005.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .common import U64, mix64, offsets, ragged, settled, slices, small, table, texts
 
@@ -141,6 +144,27 @@ def _groups(sizes: np.ndarray, k: int) -> Iterator[tuple[int, int]]:
         start = stop
 
 
+def _contents(words: list[list[bytes]]) -> tuple[pa.Array, pa.Array]:
+    """Digests of texts' words as two numbers each, null for no words."""
+    digest = [xxhash.xxh3_128_intdigest(b" ".join(w)) if w else None for w in words]
+    low = [None if d is None else (d & 0xFFFFFFFFFFFFFFFF) - (1 << 63) for d in digest]
+    top = [None if d is None else (d >> 64) - (1 << 63) for d in digest]
+    return pa.array(low, pa.int64()), pa.array(top, pa.int64())
+
+
+def digested(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(row, content_a, content_b): every row of `docs` as a struct, and the digest of its text's words."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    schema = StructType([rows.schema["row"], StructField("content_a", LongType()), StructField("content_b", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text):
+            words = [t.encode("utf-8", "surrogatepass").split() for t in texts(b, text)]
+            yield pa.RecordBatch.from_arrays([b.column("row"), *_contents(words)], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def sign(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(`key` struct of the other columns, content, bands) of every row: a digest of its words and a hash of each band.
 
@@ -148,8 +172,6 @@ def sign(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = RO
     """
     carried = [c for c in docs.columns if c != text]
     src = docs.select(*carried, F.col(text).alias("text"))
-    from pyspark.sql.types import ArrayType, LongType, StructField, StructType
-
     schema = StructType([*src.schema.fields[:-1], StructField("content_a", LongType()), StructField("content_b", LongType()), StructField("bands", ArrayType(LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,11 +188,8 @@ def sign(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = RO
                 for i in range(rows):
                     band = mix64(band * U64(0x9E3779B97F4A7C15) + signature.reshape(len(mine), bands, rows)[:, :, i])
                 out[mine] = band.view(np.int64)
-            digest = [xxhash.xxh3_128_intdigest(b" ".join(w)) if w else None for w in words]
-            low = [None if d is None else (d & 0xFFFFFFFFFFFFFFFF) - (1 << 63) for d in digest]
-            top = [None if d is None else (d >> 64) - (1 << 63) for d in digest]
             lists = pa.ListArray.from_arrays(pa.array(offsets(np.where(n > 0, bands, 0))), pa.array(out[n > 0].ravel()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(low, pa.int64()), pa.array(top, pa.int64()), lists], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *_contents(words), lists], names=schema.names)
 
     return src.mapInArrow(run, schema)
 
@@ -263,19 +282,29 @@ def _across(entries: DataFrame, blocks: int, turn: int) -> DataFrame:
     return shared.filter(may).select(F.least("doc", "d").alias("a"), F.greatest("doc", "d").alias("b"))
 
 
-def find_links(signed: DataFrame, docs: DataFrame, key: str) -> DataFrame:
-    """(node, class) of representatives that are linked to others, directly or by way of others.
+def _among(rows: DataFrame, pairs: DataFrame, how: str) -> DataFrame:
+    """`rows` joined with `pairs`, both with key, content_a and content_b: null keys are equal."""
+    same = [rows["key"].eqNullSafe(pairs["key"]), rows["content_a"] == pairs["content_a"], rows["content_b"] == pairs["content_b"]]
+    return rows.join(pairs, same[0] & same[1] & same[2], how)
+
+
+def find_links(contents: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, class) of contents that are linked to others, directly or by way of others.
 
-    `signed` has (key, bands) of each representative and `docs` their texts.
+    `contents` has (doc, key, n, content_a, content_b, bands) of each, `rows` (key, text) of which `n` are equal.
     """
-    bands = signed.select(F.col(key).alias("doc"), "bands")
-    exploded = bands.select("doc", F.posexplode("bands").alias("at", "band")).select(F.xxhash64("at", "band").alias("bucket"), "doc")
+    exploded = contents.select("doc", F.posexplode("bands").alias("at", "band")).select(F.xxhash64("at", "band").alias("bucket"), "doc")
     shared = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     entries, _ = settled(exploded.join(shared, "bucket"))
     degrees, _ = settled(entries.groupBy("doc").agg(F.sum(F.col("n") - 1).alias("degree")))
     entries, _ = settled(entries.drop("n").join(degrees, "doc").select("bucket", "doc", "degree"))
-    sets, _ = settled(shingle_sets(docs.join(small(degrees.select(F.col("doc").alias(key))), key, "left_semi"), key).withColumnRenamed(key, "doc"), 2_000)
-    none = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
+    met, _ = settled(contents.drop("bands").join(small(degrees.select("doc")), "doc", "left_semi"))
+    mine = digested(rows).select("row.key", "row.text", "content_a", "content_b")
+    sets = shingle_sets(_among(mine, small(met), "inner").select("doc", "text"), "doc")
+    if met.filter("n > 1").limit(1).count():  # rows that are equal, key and all
+        sets = sets.groupBy("doc").agg(F.first("elements").alias("elements"))
+    sets, _ = settled(sets, 2_000)
+    none = contents.sparkSession.createDataFrame([], "a bigint, b bigint")
     classes, turned_down = none.toDF("node", "class"), none
 
     def join(pairs: DataFrame) -> int:
@@ -314,23 +343,48 @@ def find_links(signed: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     return classes
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, class_id) of every row: the least key of its class of copies and near copies."""
-    rows = docs.select(F.col(key).cast("bigint").alias(key), F.col(text).alias("text"))
+def _classified(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (key, content_a, content_b) in a checkpoint, pairs (key, content_a, content_b, n) with how many rows have each, and contents (content_a, content_b, class_id, chosen).
+
+    `chosen` is a struct of the class's first key in that one of its contents that has it, else null.
+    """
+    rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text"))
     signed, _ = settled(sign(rows))
-    worded = signed.filter(F.col("content_a").isNotNull() & F.col(key).isNotNull())
     # bands are a function of the content, so any copy's will do
-    contents = worded.groupBy("content_a", "content_b").agg(F.min(F.struct(key, "bands")).alias("first"))
-    contents, _ = settled(contents.select("content_a", "content_b", f"first.{key}", "first.bands"))
-    classes = find_links(contents.select(key, "bands"), rows, key)
-    named = contents.join(classes.withColumnRenamed("node", key), key, "left").select("content_a", "content_b", F.coalesce("class", key).alias("class_id"))
-    return signed.select(key, "content_a", "content_b").join(named, ["content_a", "content_b"], "left").select(key, F.coalesce("class_id", key).alias("class_id"))
+    pairs = signed.filter(F.col("content_a").isNotNull()).groupBy("content_a", "content_b", "key").agg(F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+    ahead = [F.col("key").isNull().alias("last"), "key"]
+    firsts = pairs.groupBy("content_a", "content_b").agg(F.min(F.struct(*ahead, "n", "bands")).alias("m"))
+    # keys may repeat, so contents are linked by numbers of their own
+    contents, _ = settled(firsts.select("content_a", "content_b", "m.key", "m.n", "m.bands", F.monotonically_increasing_id().alias("doc")))
+    classes = find_links(contents, rows).toDF("doc", "class")
+    owned = contents.drop("bands", "n").join(classes, "doc", "left").withColumn("class", F.coalesce("class", "doc"))
+    heads = owned.groupBy("class").agg(F.min(F.struct(*ahead, "doc")).alias("m")).select("class", F.col("m.key").alias("class_id"), F.col("m.doc").alias("head"))
+    named = owned.join(heads, "class").select("content_a", "content_b", "class_id", F.when(F.col("doc") == F.col("head"), F.struct("key")).alias("chosen"))
+    return signed.drop("bands"), pairs.drop("bands"), named
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, class_id) of every row: the least key of its class of copies and near copies."""
+    signed, _, named = _classified(docs, key, text)
+    worded = signed.join(named, ["content_a", "content_b"]).select("key", "class_id")
+    rest = signed.filter(F.col("content_a").isNull()).select("key", F.col("key").alias("class_id"))
+    return worded.unionByName(rest).withColumnRenamed("key", key)
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` but for all copies and near copies of a class's first document."""
-    later, _ = settled(near_duplicates(docs, key, text).filter(F.col(key) != F.col("class_id")).select(key).distinct())
-    return docs.join(small(later), key, "left_anti").select(*docs.columns)
+    """One row of each class of copies and near copies, and all rows without words.
+
+    It is one with the class's least key, null last; where rows share it, one of its first content.
+    """
+    _, pairs, named = _classified(docs, key, text)
+    marked, _ = settled(pairs.join(named, ["content_a", "content_b"]).withColumn("kept", F.col("chosen").isNotNull() & F.col("chosen.key").eqNullSafe(F.col("key"))))
+    rows = digested(docs, text).withColumn("key", F.col(f"row.`{key}`").cast("bigint"))
+    rows = _among(rows, small(marked.filter(~F.col("kept")).select("key", "content_a", "content_b")), "left_anti")
+    again = marked.filter(F.col("kept") & (F.col("n") > 1)).select("key", "content_a", "content_b")
+    if again.limit(1).count():  # rows that are equal, key and all
+        once = _among(rows, again, "left_semi").groupBy("key", "content_a", "content_b").agg(F.first("row").alias("row"))
+        rows = _among(rows, again, "left_anti").select("row").unionByName(once.select("row"))
+    return rows.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

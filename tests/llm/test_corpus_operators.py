@@ -111,7 +111,7 @@ def one_bucket(monkeypatch):
     true_sign = neardup.sign
 
     def sign(docs, *a, **k):
-        hashed = F.xxhash64("doc_id")
+        hashed = F.xxhash64("key")
         return true_sign(docs, *a, **k).withColumn("bands", F.when(F.size("bands") > 0, F.array(F.lit(1).cast("bigint"), *(hashed + i for i in range(1, 25)))))
 
     monkeypatch.setattr(neardup, "sign", sign)
@@ -152,6 +152,22 @@ def test_near_duplicates_on_edges(spark):
     assert sorted((r.doc_id, r.class_id) for r in kept.collect()) == [(1, "z"), (3, None)] or len(kept.collect()) == 2
 
 
+def test_repeated_keys_and_dotted_columns(spark):
+    shape = "doc_id long, text string, `a.b` string, key string, content_a long, row string, `n.` long"
+    more = ("x", "k", 1, "r", 2)
+    a, b, c = (" ".join(words_of(random.Random(i), 40)) for i in range(3))
+    rows = [(5, a, *more), (5, b, *more), (3, b, *more), (None, a, *more), (None, c, *more), (None, c, *more), (7, c + " more", *more), (8, None, *more), (8, None, *more), (8, a + " b", *more), (8, a + " b", *more)]
+    docs = spark.createDataFrame(rows, shape)
+    got = Counter((r[0], r[1]) for r in neardup.near_duplicates(docs).collect())
+    assert got == Counter({(5, 5): 1, (5, 3): 1, (3, 3): 1, (None, 5): 1, (None, 7): 2, (7, 7): 1, (8, 8): 2, (8, 5): 2})
+    kept = neardup.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert Counter(map(tuple, kept.collect())) == Counter([(5, a, *more), (3, b, *more), (7, c + " more", *more), (8, None, *more), (8, None, *more)])
+    # rows that are equal, key and all: one stays
+    twice = neardup.keep_first(docs.filter("doc_id = 8 AND text IS NOT NULL"))
+    assert [tuple(r) for r in twice.collect()] == [(8, a + " b", *more)]
+
+
 # --- substrings
 
 
