@@ -265,21 +265,26 @@ def _mixed(entries: DataFrame, classes: DataFrame) -> DataFrame:
     return owned.join(sizes.filter("lo < hi").select("bucket", "n"), "bucket")
 
 
-def _across(entries: DataFrame, blocks: int, turn: int) -> DataFrame:
-    """(a, b): pairs of different classes that may reach SIMILARITY, of members whose blocks lie `turn` apart in a circle of `blocks`.
+def _across(entries: DataFrame) -> DataFrame:
+    """(a, b): pairs of different classes that may reach SIMILARITY.
 
-    A task gets two blocks of a bucket and not all of it. A pair comes in one turn, with all that its prefixes share:
-    beyond the last of that, it can share no more than what is left of the shorter rest.
+    The members of a bucket are dealt into blocks, and a task gets two blocks and not all of the bucket: blocks that
+    lie 0, 1, ... apart in their circle. A pair meets once in a bucket. With all that its prefixes share, beyond
+    the last of that, it can share no more than what is left of the shorter rest.
     """
-    dealt = entries.withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(blocks)))
-    other = dealt.select("bucket", F.pmod(F.col("block") - turn, F.lit(blocks)).alias("block"), F.col("doc").alias("d"), F.col("own").alias("o"), F.col("at").alias("t"), F.col("size").alias("s"))
+    dealt = entries.withColumn("blocks", F.ceil(F.col("n") / SMALL_BUCKET).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    turned = dealt.select("*", F.explode(F.sequence(F.lit(0), F.floor(F.col("blocks") / 2).cast("int"))).alias("turn"))
+    there = turned.select("bucket", "turn", F.pmod(F.col("block") - F.col("turn"), F.col("blocks")).alias("block"), F.col("doc").alias("d"), F.col("own").alias("o"), F.col("at").alias("t"), F.col("size").alias("s"))
     # at no distance, and halfway around, a pair would come twice
-    once = (F.col("doc") < F.col("d")) if 2 * turn % blocks == 0 else F.lit(True)
-    pairs = dealt.join(other, ["bucket", "block"]).filter((F.col("own") != F.col("o")) & once)
-    shared = pairs.groupBy("doc", "d", "size", "s").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("at"), F.max("t").alias("t"))
+    once = (2 * F.col("turn") % F.col("blocks") != 0) | (F.col("doc") < F.col("d"))
+    pairs = turned.join(there, ["bucket", "turn", "block"]).filter((F.col("own") != F.col("o")) & once)
+    first = F.col("doc") < F.col("d")
+    ends = lambda x, y: (F.when(first, F.col(x)).otherwise(F.col(y)), F.when(first, F.col(y)).otherwise(F.col(x)))
+    sided = [c.alias(n) for n, c in zip(("a", "b", "at", "t", "size", "s"), (*ends("doc", "d"), *ends("at", "t"), *ends("size", "s")), strict=True)]
+    shared = pairs.select(*sided).groupBy("a", "b", "size", "s").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("at"), F.max("t").alias("t"))
     most = F.col("n") + F.least(F.col("size") - F.col("at"), F.col("s") - F.col("t")) - 1
     may = most >= SIMILARITY / (1 + SIMILARITY) * (F.col("size") + F.col("s")) - 1e-6
-    return shared.filter(may).select(F.least("doc", "d").alias("a"), F.greatest("doc", "d").alias("b"))
+    return shared.filter(may).select("a", "b")
 
 
 def _among(rows: DataFrame, pairs: DataFrame, how: str) -> DataFrame:
@@ -337,9 +342,7 @@ def find_links(contents: DataFrame, rows: DataFrame) -> DataFrame:
             return classes
         if not join(with_leaders(mixed)):
             break
-    blocks = -(-mixed.agg(F.max("n")).first()[0] // SMALL_BUCKET)
-    for turn in range(blocks // 2 + 1):
-        join(_across(mixed, blocks, turn))
+    join(_across(mixed))
     return classes
 
 
