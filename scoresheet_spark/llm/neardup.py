@@ -268,23 +268,27 @@ def _mixed(entries: DataFrame, classes: DataFrame) -> DataFrame:
 def _across(entries: DataFrame) -> DataFrame:
     """(a, b): pairs of different classes that may reach SIMILARITY.
 
-    The members of a bucket are dealt into blocks, and a task gets two blocks and not all of the bucket: blocks that
-    lie 0, 1, ... apart in their circle. A pair meets once in a bucket. With all that its prefixes share, beyond
-    the last of that, it can share no more than what is left of the shorter rest.
+    A shared shingle tells nothing where it stands so late in either text that what follows can't reach the overlap
+    needed: a pair that reaches it shares an earlier one. So the shorter text of a pair enters with a shorter prefix
+    (as for a partner of its own length), and late places make no pair. In large buckets both sides are dealt into
+    blocks, so that a task gets a block of each and not all of the bucket.
     """
-    dealt = entries.withColumn("blocks", F.ceil(F.col("n") / SMALL_BUCKET).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    turned = dealt.select("*", F.explode(F.sequence(F.lit(0), F.floor(F.col("blocks") / 2).cast("int"))).alias("turn"))
-    there = turned.select("bucket", "turn", F.pmod(F.col("block") - F.col("turn"), F.col("blocks")).alias("block"), F.col("doc").alias("d"), F.col("own").alias("o"), F.col("at").alias("t"), F.col("size").alias("s"))
-    # at no distance, and halfway around, a pair would come twice
-    once = (2 * F.col("turn") % F.col("blocks") != 0) | (F.col("doc") < F.col("d"))
-    pairs = turned.join(there, ["bucket", "turn", "block"]).filter((F.col("own") != F.col("o")) & once)
-    first = F.col("doc") < F.col("d")
-    ends = lambda x, y: (F.when(first, F.col(x)).otherwise(F.col(y)), F.when(first, F.col(y)).otherwise(F.col(x)))
-    sided = [c.alias(n) for n, c in zip(("a", "b", "at", "t", "size", "s"), (*ends("doc", "d"), *ends("at", "t"), *ends("size", "s")), strict=True)]
-    shared = pairs.select(*sided).groupBy("a", "b", "size", "s").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("at"), F.max("t").alias("t"))
-    most = F.col("n") + F.least(F.col("size") - F.col("at"), F.col("s") - F.col("t")) - 1
-    may = most >= SIMILARITY / (1 + SIMILARITY) * (F.col("size") + F.col("s")) - 1e-6
-    return shared.filter(may).select("a", "b")
+    needed = lambda m, n: SIMILARITY / (1 + SIMILARITY) * (m + n) - 1e-6
+    early = F.col("size") - F.col("at") >= needed(F.col("size"), F.col("size"))
+    counts = entries.groupBy("bucket").agg(F.count(F.when(early, 1)).alias("short"), F.count(F.lit(1)).alias("all")).filter("short > 0 AND all > 1")
+    blocks = {c: F.ceil(F.col(c) / SMALL_BUCKET).cast("int") for c in ("short", "all")}
+    dealt = entries.drop("n").join(counts.select("bucket", *(n.alias(c) for c, n in blocks.items())), "bucket")
+    side = lambda c: F.pmod(F.xxhash64("doc"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    short = dealt.filter(early).select("bucket", side("short").alias("i"), every("all").alias("j"), "doc", "own", "at", "size")
+    long_ = dealt.select("bucket", every("short").alias("i"), side("all").alias("j"), F.col("doc").alias("d"), F.col("own").alias("o"), F.col("at").alias("t"), F.col("size").alias("s"))
+    need = needed(F.col("size"), F.col("s"))
+    shorter = (F.col("size") < F.col("s")) | ((F.col("size") == F.col("s")) & (F.col("doc") < F.col("d")))
+    pairs = short.join(long_, ["bucket", "i", "j"]).filter(shorter & (F.col("own") != F.col("o")) & (F.col("size") - F.col("at") >= need) & (F.col("s") - F.col("t") >= need))
+    shared = pairs.groupBy("doc", "d", "size", "s").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("at"), F.max("t").alias("t"))
+    # with all that lies before, beyond the last shared shingle it can share no more than what is left of the shorter rest
+    may = F.col("n") + F.least(F.col("size") - F.col("at"), F.col("s") - F.col("t")) - 1 >= need
+    return shared.filter(may).select(F.least("doc", "d").alias("a"), F.greatest("doc", "d").alias("b"))
 
 
 def _among(rows: DataFrame, pairs: DataFrame, how: str) -> DataFrame:
