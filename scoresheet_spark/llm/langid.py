@@ -11,8 +11,9 @@ driver is at most languages x vocabulary numbers. Prediction reads every text wh
 scored once and remembered in a table of bounded size.
 
 Edge cases: a null text or one without a letter is `und` with score 0; rows with a null key train nothing
-and are predicted; a null language trains nothing; without training rows all is `und`; ties go to the
-alphabetically first language; repeated rows give repeated rows; words of any length are scored whole;
+and are predicted; a null language trains nothing; without training rows all is `und`; more than
+`MAX_LANGUAGES` languages are an error; ties go to the alphabetically first language; repeated rows give
+repeated rows; words of any length are learned from and scored whole, and no word changes what another gets;
 letters outside the vocabulary count as an unknown piece; further columns are not read.
 """
 
@@ -33,10 +34,11 @@ from .bpe import _Words, vocabulary
 from .common import U64, cut, mix64, slices, table, texts
 
 #: Documents of each language to train on, about; rounds of expectation maximisation; languages at most.
-TRAIN_DOCS, ROUNDS, MAX_LANGUAGES = 1500, 3, 1000
+TRAIN_DOCS, ROUNDS, MAX_LANGUAGES = 1500, 3, 200
 #: Share of a piece that is added to every count.
 SMOOTHING = 0.05
-MAX_CHUNKS = 300_000
+#: Chunks of text that a worker remembers, and their bytes; beyond that the table starts anew.
+MAX_CHUNKS, MAX_BYTES = 300_000, 32_000_000
 _WORD = regex.compile(r"\p{L}+|\x20")
 _LETTER = regex.compile(r"\p{L}")
 _BASE = U64(0x9E3779B97F4A7C15)
@@ -86,65 +88,69 @@ def _codes(words: Sequence[str]) -> np.ndarray:
     return np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), -1).astype(U64)
 
 
-def _forward(found: list, n: int, probs: np.ndarray, rows: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Forward sums at every position, scaled, and the log of each position's scale factor."""
-    alpha = [np.ones((rows, probs.shape[1]))]
-    scale = np.zeros((n + 1, rows))
+#: Letters that a word may have before its sums are scaled: up to there nothing underflows.
+PLAIN = 24
+
+
+def _forward(found: list, n: int, probs: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Forward sums at every position, and the logs of their scale factors: each row and language has its own."""
+    alpha = np.ones((n + 1, rows, probs.shape[1]))
+    scale = np.zeros_like(alpha)
     for j in range(1, n + 1):
         total = np.zeros_like(alpha[0])
         for length in range(1, min(j, len(found) - 1) + 1):
             if found[length] is not None:
-                lag = np.exp(scale[j - length] - scale[j - 1])[:, None] if j > 24 else 1.0
-                total += alpha[j - length] * probs[found[length][:, j - length]] * lag
-        scale[j] = scale[j - 1]
-        if j >= 24:  # long words would underflow
-            top = total.max(axis=1)
-            total /= top[:, None]
-            scale[j] += np.log(top)
-        alpha.append(total)
+                step = alpha[j - length] * probs[found[length][:, j - length]]
+                total += step * np.exp(scale[j - length] - scale[j - 1]) if j > PLAIN else step
+        if j >= PLAIN:
+            scale[j] = scale[j - 1] + np.log(total)
+        else:
+            alpha[j] = total
     return alpha, scale
 
 
-def score_words(pieces: Pieces, probs: np.ndarray, words: Sequence[str]) -> np.ndarray:
-    """Log probability of each word in each language; `probs` has a row for each piece, the unknown one and none."""
-    out = np.zeros((len(words), probs.shape[1]))
+def _batches(words: Sequence[str], width: int) -> Iterator[tuple[int, list[int]]]:
+    """Numbers of words of equal length, in batches of a bounded number of letters times `width`."""
     by_length = defaultdict(list)
     for i, w in enumerate(words):
         by_length[len(w)].append(i)
-    for n, all_rows in by_length.items():
-        step = max(1, 200_000 // (n * probs.shape[1]))
-        for s in range(0, len(all_rows), step):
-            rows = all_rows[s : s + step]
-            alpha, scale = _forward(pieces.find(_codes([words[i] for i in rows])), n, probs, len(rows))
-            out[rows] = np.log(alpha[n]) + scale[n][:, None]
+    for n, rows in by_length.items():
+        step = max(1, 200_000 // (n * width))
+        for s in range(0, len(rows), step):
+            yield n, rows[s : s + step]
+
+
+def score_words(pieces: Pieces, probs: np.ndarray, words: Sequence[str]) -> np.ndarray:
+    """Log probability of each word in each language; `probs` has a row for each piece, the unknown one and none."""
+    out = np.zeros((len(words), probs.shape[1]))
+    for n, rows in _batches(words, probs.shape[1]):
+        alpha, scale = _forward(pieces.find(_codes([words[i] for i in rows])), n, probs, len(rows))
+        out[rows] = np.log(alpha[n]) + scale[n]
     return out
 
 
 def expect(pieces: Pieces, probs: np.ndarray, words: Sequence[str], weights: np.ndarray) -> np.ndarray:
     """Expected counts of pieces over weighted words of one language (`probs` has one column)."""
     counts = np.zeros(pieces.size + 2)
-    by_length = defaultdict(list)
-    for i, w in enumerate(words):
-        if len(w) <= 64:
-            by_length[len(w)].append(i)
-    for n, all_rows in by_length.items():
-        for s in range(0, len(all_rows), 20_000):
-            rows = all_rows[s : s + 20_000]
-            found = pieces.find(_codes([words[i] for i in rows]))
-            alpha, scale = _forward(found, n, probs, len(rows))
-            beta = [np.zeros((len(rows), 1)) for _ in range(n)] + [np.exp(-(scale[n]))[:, None]]
-            for i in range(n - 1, -1, -1):
-                for length in range(1, min(n - i, len(found) - 1) + 1):
-                    if found[length] is not None:
-                        beta[i] += probs[found[length][:, i]] * beta[i + length]
-            each = weights[rows][:, None] / alpha[n]
-            for length in range(1, len(found)):
+    for n, rows in _batches(words, 1):
+        found = pieces.find(_codes([words[i] for i in rows]))
+        alpha, scale = _forward(found, n, probs, len(rows))
+        # backward sums, scaled by what the forward ones are not
+        beta = np.zeros_like(alpha)
+        beta[n] = weights[rows][:, None] / alpha[n]
+        seen, mass = [], []
+        for i in range(n - 1, -1, -1):
+            for length in range(1, min(n - i, len(found) - 1) + 1):
                 if found[length] is None:
                     continue
-                for i in range(n - length + 1):
-                    ids = found[length][:, i]
-                    mass = alpha[i] * np.exp(scale[i])[:, None] * probs[ids] * beta[i + length] * each
-                    counts += np.bincount(ids, mass[:, 0], minlength=counts.size)
+                ids = found[length][:, i]
+                step = probs[ids] * beta[i + length]
+                if i + length >= PLAIN:
+                    step *= np.exp(scale[i] - scale[i + length])
+                beta[i] += step
+                seen.append(ids)
+                mass.append((alpha[i] * step)[:, 0])
+        counts += np.bincount(np.concatenate(seen), np.concatenate(mass), minlength=counts.size)
     return counts
 
 
@@ -171,24 +177,24 @@ class Model:
         self.__init__(*state)
 
     def begin(self) -> None:
-        self.known, self.sums = _Words(), np.zeros((0, len(self.languages)))
+        self.known, self.sums, self.held = _Words(), np.zeros((0, len(self.languages))), 0
 
     def predict(self, docs: Sequence[str]) -> tuple[list[str], list[float]]:
         if not self.languages:
             return ["und"] * len(docs), [0.0] * len(docs)
-        if not hasattr(self, "known") or len(self.known) > MAX_CHUNKS:
+        if not hasattr(self, "known") or len(self.known) > MAX_CHUNKS or self.held > MAX_BYTES:
             self.begin()
         look = self.known.__getitem__
         rows = [np.fromiter(map(look, t.encode("utf-8", "surrogatepass").split()), np.int64) for t in docs]
         if self.known.new:
+            self.held += sum(map(len, self.known.new))
             number = _Words()
             number[" "] = 0
             found = np.array(list(map(number.__getitem__, chunk_words(self.known.new))), np.int64)
             self.known.new = []
             scores = np.vstack([np.zeros((1, len(self.languages))), score_words(pieces_of(self.path), self.probs, [MARK + w for w in number.new])])
-            ends = np.flatnonzero(found == 0)
-            total = np.cumsum(scores[found], axis=0)[ends]
-            self.sums = np.vstack([self.sums, np.diff(total, axis=0, prepend=0)])
+            ends = np.flatnonzero(found == 0)  # each chunk's sum is its own: none depends on its neighbours
+            self.sums = np.vstack([self.sums, np.add.reduceat(scores[found], np.r_[0, ends[:-1] + 1], axis=0)])
         names, odds = [], []
         for text, row in zip(docs, rows, strict=True):
             if not _LETTER.search(text):
@@ -251,8 +257,8 @@ def train(df: DataFrame, path: str, lang: str = "lang", key: str = "doc_id", tex
 
         masses = words.mapInArrow(expected, "g int, piece int, mass double").groupBy("g", "piece").agg(F.sum("mass").alias("mass"))
         counts = np.full((pieces.size + 2, len(languages)), SMOOTHING)
-        for r in masses.toLocalIterator():  # languages x vocabulary at most
-            counts[r["piece"], r["g"]] += r["mass"]
+        sums = masses.toArrow()  # languages x vocabulary at most
+        np.add.at(counts, (sums.column("piece").to_numpy(), sums.column("g").to_numpy()), sums.column("mass").to_numpy())
         counts[-1] = 0
         probs = counts / counts.sum(axis=0)
         shipped.unpersist()

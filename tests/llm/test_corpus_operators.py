@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -325,6 +326,110 @@ def test_forward_sums_all_segmentations():
     assert (counts * lengths).sum() == pytest.approx(sum(map(len, words[:4])))  # expected pieces cover each letter once
 
 
+def segmentations(pieces, index, word):
+    """All ways to cut a word into pieces, as lists of piece numbers."""
+    if not word:
+        yield []
+    for j in range(1, min(len(word), pieces.longest) + 1):
+        k = index.get(word[:j], pieces.size if j == 1 else None)
+        if k is not None:
+            for rest in segmentations(pieces, index, word[j:]):
+                yield [k, *rest]
+
+
+def brute_expect(pieces, index, probs, words):
+    """Expected counts of pieces by enumeration; `probs` by piece, `words` with their counts."""
+    counts = np.zeros(pieces.size + 2)
+    for w, n in words.items():
+        ways = [(s, math.prod(probs[k] for k in s)) for s in segmentations(pieces, index, w)]
+        total = sum(p for _, p in ways)
+        for s, p in ways:
+            for k in s:
+                counts[k] += n * p / total
+    return counts
+
+
+def test_expected_counts_equal_enumeration():
+    pieces = langid.pieces_of(common_vocabulary())
+    index = {w: i for i, w in enumerate(pieces.words)}
+    probs = np.r_[np.random.default_rng(1).random((pieces.size + 1, 1)), np.zeros((1, 1))]
+    probs /= probs.sum()
+    words = {"▁the": 3, "▁haus": 1, "▁quelque": 2, "▁ȹx": 5, "▁a": 1}
+    got = langid.expect(pieces, probs, list(words), np.array(list(words.values()), float))
+    assert got == pytest.approx(brute_expect(pieces, index, probs[:, 0], words))
+
+
+@pytest.mark.parametrize("length", [40, 64, 65, 1000, 20_000])
+def test_long_words_are_learned_from_and_scored(length):
+    pieces = langid.pieces_of(common_vocabulary())
+    rng = np.random.default_rng(length)
+    # languages far apart, so that a common scale would lose one of them
+    probs = np.r_[np.maximum(rng.random((pieces.size + 1, 3)) ** np.array([1, 8, 30]), 1e-7), np.zeros((1, 3))]
+    probs /= probs.sum(axis=0)
+    word = "▁" + "".join(rng.choice(list("abcdefgh漢字"), length))
+    got = langid.score_words(pieces, probs, [word])
+    assert np.isfinite(got).all()
+    counts = langid.expect(pieces, probs[:, [2]], [word], np.array([2.0]))
+    lengths = np.array([len(w) for w in pieces.words] + [1, 0])
+    assert (counts * lengths).sum() == pytest.approx(2 * len(word))
+
+
+def brute_languages(train, docs, rounds, smoothing):
+    """Predictions from models that are learned by enumerating all segmentations of words."""
+    pieces = langid.pieces_of(common_vocabulary())
+    index = {w: i for i, w in enumerate(pieces.words)}
+    cut = lambda t: ["▁" + w for w in re.findall(r"[^\W\d_]+", (t or "").lower())]
+    probs = {}
+    for name in sorted({g for _, g in train}):
+        words = Counter(w for t, g in train if g == name for w in cut(t))
+        p = np.r_[np.full(pieces.size + 1, 1 / (pieces.size + 1)), 0]
+        for _ in range(rounds):
+            counts = brute_expect(pieces, index, p, words) + smoothing
+            counts[-1] = 0
+            p = counts / counts.sum()
+        probs[name] = p
+    out = []
+    for t in docs:
+        logs = {g: sum(math.log(sum(math.prod(p[k] for k in s) for s in segmentations(pieces, index, w))) for w in cut(t)) for g, p in probs.items()}
+        best = max(logs, key=logs.get)
+        out.append((best, 1 / sum(math.exp(v - logs[best]) for v in logs.values())))
+    return out
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    said = {"en": "the cat and the dog were on the mat", "de": "der Hund und die Katze auf dem Dach", "fr": "le chat et le chien dans la rue"}
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        lang = rng.choice(sorted(said))
+        rows.append((i, " ".join(rng.choices(said[lang].split(), k=rng.randrange(1, 6))) + rng.choice(["", " 12, und", " the"]), lang))
+    spark.createDataFrame(rows, ROWS + ", lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in langid.op8_langid(spark, str(tmp_path)).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i, *_ in rows}
+    want = brute_languages([(t, g) for i, t, g in rows if not held[i]], [t for _, t, _ in rows], langid.ROUNDS, langid.SMOOTHING)
+    for (i, *_), (name, score) in zip(rows, want, strict=True):
+        assert got[i].held_out == held[i] and got[i].lang_pred == name and got[i].score == pytest.approx(score)
+
+
+def test_no_text_changes_what_another_gets(spark):
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").orderBy("doc_id").limit(30).collect()]
+    model = langid.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), common_vocabulary())
+    alone = []
+    for t in docs:
+        model.begin()
+        alone += list(zip(*model.predict([t]), strict=True))
+    model.begin()
+    odd = ["q" * 1000 + " x", "漢字" * 500 + "\n" + "ไทย" * 300, "e" * 20_000, "Zz" * 700 + " the end"]
+    names, scores = model.predict(odd + docs)
+    assert all(0 <= s <= 1 for s in scores)
+    assert names[len(odd) :] == [n for n, _ in alone] and scores[len(odd) :] == pytest.approx([s for _, s in alone])
+    names, scores = model.predict(docs)  # with what the worker remembers by now
+    assert names == [n for n, _ in alone] and scores == pytest.approx([s for _, s in alone])
+    rows = spark.createDataFrame(list(enumerate(odd + docs)), ROWS)
+    one, many = (sorted(map(tuple, langid.predict(rows.repartition(n), model).collect())) for n in (1, 7))
+    assert [r[:2] for r in one] == [r[:2] for r in many] and [r[2] for r in one] == pytest.approx([r[2] for r in many])
+
+
 def common_vocabulary():
     from scoresheet_spark.llm.bpe import vocabulary
 
