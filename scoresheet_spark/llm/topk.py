@@ -10,9 +10,11 @@ The query set meets all row blocks, block by block, by design; each pair of bloc
 work, and k rows of each leave it. Every row is indexed; the result is exact, so its recall is 1.
 
 Edge cases: vectors that are null or hold null or non-finite components take no part, nor do rows without
-an id; a shorter vector counts as padded with zeros; rows sharing an id are candidates each, but make one
-query (the smallest vector), which none of them answers; ties go to the smaller id; fewer than k candidates
-all appear; an empty table gives no rows; further columns are not read. Quantised components stay below 2**40.
+an id; a shorter vector counts as padded with zeros; rows sharing an id are queries and candidates each, and a
+query meets all rows but its own one; ties go to the smaller id; fewer than k candidates all appear; an empty
+table gives no rows; further columns are not read. Sums have as many slices as they need and are exact at any
+size; a component of 2**62 or more after quantisation, or a score among the best that a long can't hold, is an
+error and never another number.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,26 +35,37 @@ BLOCK_ROWS, BLOCK_QUERIES = 32_768, 128
 FEW = 24
 
 INDEX = "ids binary, dims int, bits int, low bigint, slices binary"
-RESULT = "query_id bigint, vec_id bigint, score bigint"
+RESULT = "query bigint, query_id bigint, vec_id bigint, score bigint, own boolean"
+#: Greatest component and greatest score.
+MOST, MOST_SCORE = 2**62, 2**63 - 1
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
-    return F.transform(vector, lambda x: F.floor(scale * x.cast("double")))
+    large = F.raise_error(F.lit(f"a quantised component is {MOST} or more")).cast("bigint")
+    return F.transform(vector, lambda x: F.when(F.abs(scale * x.cast("double")) < float(MOST), F.floor(scale * x.cast("double"))).otherwise(large))
 
 
 def usable(vector: Column) -> Column:
-    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) >= 2.0**32))
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(True))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """Integer vectors as rows, padded with zeros."""
-    sizes = np.array([len(x) for x in column], np.int64)
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
     out = np.zeros((len(sizes), int(sizes.max(initial=0))), np.int64)
     out[np.arange(out.shape[1]) < sizes[:, None]] = column.flatten().to_numpy()
     return out
 
 
+def product(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products, in integers without a bound where 64 bits might not hold them."""
+    most = [int(np.abs(x).max(initial=0)) for x in (rows, query)]
+    if most[0] * most[1] * max(1, len(query)) <= MOST_SCORE:
+        return rows @ query
+    return (rows.astype(object) * query.astype(object)).sum(axis=1)
+
+
 class Index:
     """The bitmaps of one block, and sums and selections over them."""
 
@@ -115,11 +129,9 @@ class Index:
         bit = self.both[: self.dims * self.bits][:, rows // 64] >> (rows % 64).astype(np.uint64) & np.uint64(1)
         return (bit.astype(np.int64).reshape(self.dims, self.bits, -1) << np.arange(self.bits)[None, :, None]).sum(axis=1).T + self.low
 
-    def top(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
+    def top(self, query: np.ndarray, k: int) -> list[tuple[int, int]]:
         """The k best (vec_id, score) of the block."""
         tied = self.valid.copy()
-        for r in range(np.searchsorted(self.ids, query_id, "left"), np.searchsorted(self.ids, query_id, "right")):
-            tied[r // 64] &= ~(np.uint64(1) << np.uint64(r % 64))
         sure = np.zeros_like(tied)
         n_sure, n_tied = 0, int(np.bitwise_count(tied).sum())
         if n_tied > FEW:
@@ -140,7 +152,7 @@ class Index:
                 np.bitwise_or.at(tied, tied_rows // 64, np.uint64(1) << (tied_rows % 64).astype(np.uint64))
         rows = self.rows(sure | tied)
         width = min(self.dims, len(query))
-        exact = self.values(rows)[:, :width] @ query[:width]
+        exact = product(self.values(rows)[:, :width], query[:width])
         best = sorted(zip((-exact).tolist(), self.ids[rows].tolist(), strict=True))[:k]
         return [(i, -s) for s, i in best]
 
@@ -168,20 +180,24 @@ def build_index(vectors: DataFrame) -> DataFrame:
 
 
 def query_blocks(queries: DataFrame) -> DataFrame:
-    """(query_ids, queries) of up to BLOCK_QUERIES queries a row."""
+    """(query_ids, numbers, queries) of up to BLOCK_QUERIES queries a row; each query row has a number of its own."""
+    schema = pa.schema([("query_ids", pa.binary()), ("numbers", pa.binary()), ("queries", pa.binary())])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, BLOCK_QUERIES):
                 part = b.slice(s, BLOCK_QUERIES)
-                matrix = _matrix(part.column("v"))
-                yield pa.RecordBatch.from_pydict({"query_ids": [part.column("vec_id").to_numpy().astype("<i8").tobytes()], "queries": [matrix.astype("<i8").tobytes()]}, schema=pa.schema([("query_ids", pa.binary()), ("queries", pa.binary())]))
+                held = [part.column(n).to_numpy() for n in ("vec_id", "number")] + [_matrix(part.column("v"))]
+                yield pa.RecordBatch.from_arrays([pa.array([x.astype("<i8").tobytes()], pa.binary()) for x in held], schema=schema)
 
-    return queries.mapInArrow(build, "query_ids binary, queries binary")
+    return queries.select("vec_id", F.monotonically_increasing_id().alias("number"), "v").mapInArrow(build, "query_ids binary, numbers binary, queries binary")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k best rows of `vectors` for each row of `queries`, both (vec_id, v): query_id, rank, vec_id, score."""
+    """The k best rows of `vectors` for each row of `queries`, both (vec_id, v), but for its own: query_id, rank, vec_id, score.
+
+    Blocks give k + 1 rows, as a query's own may be among them: of the rows that have its id and its vector one goes.
+    """
     sizes = vectors.agg(F.count(F.lit(1))).first()[0], queries.agg(F.count(F.lit(1))).first()[0]
     dealt = vectors.repartition(max(1, -(-sizes[0] // BLOCK_ROWS)))  # in turn, so that blocks are full
     asked = queries.repartition(max(1, -(-sizes[1] // BLOCK_QUERIES)))
@@ -194,14 +210,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 row = {n: b.column(n)[r].as_py() for n in b.schema.names}
                 if last != row["ids"]:
                     index, last = Index.load(*(row[n] for n in ("ids", "dims", "bits", "low", "slices"))), row["ids"]
-                ids = np.frombuffer(row["query_ids"], "<i8")
-                matrix = np.frombuffer(row["queries"], "<i8").reshape(len(ids), -1)
-                found = [(q, i, s) for q, v in zip(ids.tolist(), matrix, strict=True) for i, s in index.top(q, v, k)]
-                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
-
-    best = pairs.mapInArrow(search, RESULT)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                ids, numbers = (np.frombuffer(row[n], "<i8").tolist() for n in ("query_ids", "numbers"))
+                found = []
+                for number, q, v in zip(numbers, ids, np.frombuffer(row["queries"], "<i8").reshape(len(ids), -1), strict=True):
+                    own = int(product(v[None], v)[0])
+                    for i, score in index.top(v, k + 1):
+                        mine = i == q and score == own
+                        if not mine and not -MOST_SCORE <= score <= MOST_SCORE:
+                            raise OverflowError(f"the score of {q} and {i} is {score}, which a long can't hold")
+                        found.append((number, q, i, min(score, MOST_SCORE), mine))
+                yield pa.RecordBatch.from_arrays([*(pa.array([f[c] for f in found], pa.int64()) for c in range(4)), pa.array([f[4] for f in found], pa.bool_())], names=["query", "query_id", "vec_id", "score", "own"])
+
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
+    best = pairs.mapInArrow(search, RESULT).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1)
+    best = best.withColumn("gap", F.min(F.when(F.col("own"), F.col("place"))).over(Window.partitionBy("query"))).filter(~F.col("place").eqNullSafe(F.col("gap")))
+    rank = F.col("place") - F.when(F.col("gap") < F.col("place"), 1).otherwise(0)
+    return best.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 #: Every row whose id this divides is a query; results of each.
@@ -211,24 +235,23 @@ EVERY, K = 50, 5
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     vectors = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), quantised(F.col("embedding")).alias("v"))
-    queries = vectors.filter(F.col("vec_id") % EVERY == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    return top_k(vectors, queries, K)
+    return top_k(vectors, vectors.filter(F.col("vec_id") % EVERY == 0), K)
 
 
 QUERIES = {"op9_topk": op9_topk}
 ORACLE = {
     "op9_topk": f"""
 WITH v AS (
-  SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x : CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT row_number() OVER () AS r, CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x : CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  SELECT q.r AS r, q.vec_id AS query_id, c.vec_id AS vec_id,
          CAST(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda z : z[1] * z[2])), 0) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  FROM v q JOIN v c ON q.r <> c.r
   WHERE q.vec_id % {EVERY} = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s)
 WHERE rank <= {K}"""
 }

@@ -461,14 +461,11 @@ def test_languages_on_edges(spark, tmp_path):
 
 def brute_top(rows, k):
     usable = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    queries = {}
-    for i, v in usable:
-        if i % 50 == 0:
-            queries[i] = min(queries.get(i, v), v)
     out = []
-    for q, v in queries.items():
-        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in usable if i != q)[:k]
-        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    for r, (q, v) in enumerate(usable):
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for c, (i, w) in enumerate(usable) if c != r)[:k]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
     return sorted(out)
 
 
@@ -477,12 +474,22 @@ def test_top_k_equals_brute_force(spark, tmp_path, monkeypatch, block):
     monkeypatch.setattr(topk, "BLOCK_ROWS", block)
     rng = np.random.default_rng(9)
     rows = [(i, rng.normal(0, 0.2, 16).round(2).tolist()) for i in range(300)]
-    rows += [(300 + i, rows[7][1]) for i in range(60)] + [(50, rows[3][1]), (None, rows[1][1]), (400, None), (450, [None, 1.0]), (500, [float("nan")] * 16), (550, [float("inf")]), (600, [0.5, -0.25]), (650, [])]
+    rows += [(300 + i, rows[7][1]) for i in range(60)] + [(50, rows[3][1]), (100, rows[100][1]), (100, rows[100][1]), (700, [2.0**33, -3.0e9]), (750, [0.0, 0.0, 1.0e10]), (None, rows[1][1]), (400, None), (450, [None, 1.0]), (500, [float("nan")] * 16), (550, [float("inf")]), (600, [0.5, -0.25]), (650, [])]
     spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, score int").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
     got = topk.op9_topk(spark, str(tmp_path))
     assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == brute_top(rows, 5)
 
 
+def test_scores_beyond_a_long_are_errors(spark, tmp_path):
+    for n, rows in enumerate(([(50, [5.0e7, 1.0]), (1, [5.0e7, 1.0])], [(50, [1.0]), (1, [1.0e30])])):
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / str(n) / "embeddings.parquet"))
+        with pytest.raises(Exception, match="a long can't hold|a quantised component"):
+            topk.op9_topk(spark, str(tmp_path / str(n))).collect()
+    # a query's own product may be of any size
+    spark.createDataFrame([(50, [5.0e7, 1.0]), (1, [0.5, 1.0])], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "own" / "embeddings.parquet"))
+    assert list(map(tuple, topk.op9_topk(spark, str(tmp_path / "own")).collect())) == [(50, 1, 1, 256 * 256 * 25_000_001)]
+
+
 def test_top_k_of_few_rows_and_none(spark, tmp_path):
     rows = [(0, [1.0, 2.0]), (50, [1.0, -2.0]), (1, [0.0, 0.0])]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "a" / "embeddings.parquet"))
