@@ -1,18 +1,23 @@
 """Chat formatting by event-sourced reconstruction.
 
-A conversation is a log of events: `message` (a whole turn), `delta` (text appended to the latest turn),
-`edit` (new text for an earlier turn) and `regenerate` (the latest assistant turn starts anew). The log is
-partitioned by conversation, sorted by sequence number and folded into the final messages, which are
-rendered with a template that marks turns and escapes every control string inside roles and texts.
+A conversation is a log of events: `message` (a whole turn), `delta` (text appended to a turn), `edit` (new
+text for a turn) and `regenerate` (a turn starts anew). An event says which turn it acts on by that turn's
+sequence number; without one a delta and an edit act on the latest turn, and a regeneration on the latest
+assistant turn. The log is partitioned by conversation, sorted by sequence number and folded into the final
+messages, which are rendered with a template that marks turns and escapes every control string inside roles
+and texts.
 
 Events are streamed: Spark partitions and sorts them (spilling where needed), by conversation, by the turn
 that an event acts on, and by sequence. So a worker holds one turn at a time, and a long conversation leaves
-as many parts as it needs: no conversation, however large, is gathered in memory.
+as many parts as it needs: no conversation, however large, is gathered in memory. It is one task's stream, as
+the digest of a conversation is one over all of its turns in order: a conversation with a third of all rows
+takes a third of the rendering time, in bounded memory.
 
 Edge cases: a null text is '', a null role is '', a null event is a message. Null sequence numbers sort
-first, ties by role and text; repeated rows are events of their own. Rows whose conversation is null form
-one conversation. A delta, edit or regeneration without a turn to act on opens one with the role given.
-An empty table gives no parts. Further columns are not read.
+first, ties by kind (messages first), role and text; repeated rows are events of their own. Rows whose
+conversation is null form one conversation. An event without a turn to act on opens one with the role given:
+the first event of a conversation, a regeneration before any assistant turn, and one that names a turn that
+isn't there. An empty table gives no parts. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -93,20 +98,38 @@ def _fold(events: Iterator[tuple]) -> Iterator[tuple[object, str, str]]:
         yield now[0], role, "".join(parts)
 
 
+def _aimed(rows: DataFrame) -> DataFrame:
+    """`rows` (conv, target, seq, event, role, text) with `aim`, the sequence number of the turn that each acts on, null targets resolved."""
+    order = Window.partitionBy("conv").orderBy("seq", F.col("event") != "message", "role", "text")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    message, restart = F.col("event") == "message", (F.col("event") == "regenerate") & F.col("target").isNull()
+    answers = F.when((message & (F.col("role") == "assistant")) | restart, F.lit(True))
+    rows = rows.withColumn("_number", F.row_number().over(order)).withColumn("_answered", F.coalesce(F.last(answers, True).over(before), F.lit(False)))
+    opens = message | (F.col("_number") == 1) | (restart & ~F.col("_answered"))
+    # a struct, so that the number itself may be null
+    opened = F.struct(F.when(message, F.col("seq")).otherwise(F.coalesce("target", "seq")).alias("seq"))
+    rows = rows.withColumn("_opened", F.when(opens, opened))
+    rows = rows.withColumn("_latest", F.last("_opened", True).over(before)).withColumn("_answer", F.last(F.when(answers & opens, F.col("_opened")), True).over(before))
+    own = F.when(F.col("_opened").isNotNull(), F.col("_opened.seq"))
+    aim = own.when(F.col("target").isNotNull(), F.col("target")).when(restart, F.col("_answer.seq")).otherwise(F.col("_latest.seq"))
+    return rows.withColumn("aim", aim)
+
+
 def format_conversations(df: DataFrame, conv: str = "conv_id", seq: str = "turn", event: str | None = None, target: str | None = None) -> DataFrame:
     """Formatted parts of every conversation, with the spans of assistant texts (the loss mask) in each part.
 
     `event` and `target` name the columns with an event's kind and the turn that it acts on; without them
     every row is a whole message. A message's target is its own sequence number.
     """
-    kind = F.coalesce(F.col(event), F.lit("message")) if event else F.lit("message")
-    own = F.col(seq).cast("bigint")
-    aim = F.when(kind == "message", own).otherwise(F.coalesce(F.col(target).cast("bigint"), own)) if target else own
     rows = df.select(
-        F.col(conv).cast("bigint").alias("conv"), aim.alias("aim"), own.alias("seq"), kind.alias("event"),
+        F.col(conv).cast("bigint").alias("conv"), F.col(seq).cast("bigint").alias("seq"),
+        (F.coalesce(F.col(event), F.lit("message")) if event else F.lit("message")).alias("event"),
+        (F.col(target).cast("bigint") if event and target else F.lit(None).cast("bigint")).alias("target"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
-    ordered = rows.repartition("conv").sortWithinPartitions("conv", "aim", "seq", (F.col("event") != "message"), "role", "text")
+    rows = rows.repartition("conv")
+    rows = _aimed(rows) if event else rows.withColumn("aim", F.col("seq"))
+    ordered = rows.select("conv", "aim", "seq", "event", "role", "text").sortWithinPartitions("conv", "aim", "seq", (F.col("event") != "message"), "role", "text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def events() -> Iterator[tuple]:
@@ -205,12 +228,29 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(rows.unionByName(probe)))
 
 
-QUERIES = {"op7_chat_format": op7_chat_format}
-ORACLE = {
-    "op7_chat_format": f"""
-WITH logged AS (
-  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '{PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{PROBE}'),
+def chat_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations told as event logs: each turn a message with the first half of its text and a delta with the rest, without targets.
+
+    In every third conversation assistant turns are generated anew from a delta; in every fifth users edit their turns afterwards.
+    """
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint").alias("conv_id"), (F.col("turn") * 10).cast("bigint").alias("at"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    again = (F.col("role") == "assistant") & (F.col("conv_id") % 3 == 0)
+    edited = (F.col("role") == "user") & (F.col("conv_id") % 5 == 0)
+    say = lambda if_, after, event, text, target=None: F.when(if_, F.struct((F.col("at") + after).alias("seq"), F.lit(event).alias("event"), (F.lit(None).cast("bigint") if target is None else target).alias("target"), text.alias("text")))
+    events = F.array(
+        say(F.lit(True), 0, "message", F.substring("text", F.lit(1), half)),
+        say(F.lit(True), 1, "delta", F.substring("text", half + 1, F.length("text"))),
+        say(again, 2, "regenerate", F.lit("Once more: ")),
+        say(again, 3, "delta", F.col("text")),
+        say(edited, 1_000_000, "edit", F.concat(F.lit("Rather: "), "text"), F.col("at")),
+    )
+    log = rows.select("conv_id", "role", F.explode(F.array_compact(events)).alias("e")).select("conv_id", "role", "e.*")
+    return read_back(format_conversations(log, seq="seq", event="event", target="target"))
+
+
+QUERIES = {"op7_chat_format": op7_chat_format, "chat_event_log": chat_event_log}
+_DIGEST_SQL = f"""
 escaped AS (
   SELECT *, regexp_replace(replace(text, '\\', '\\\\'), '(<)([|]turn[|]>|[|]text[|]>|[|]end[|]>|[|]endoftext[|]>|[|]startoftext[|]>|[|]im_start[|]>|[|]im_end[|]>|s>|/s>|<SYS>>|</SYS>>)', '\\1\\\\\\2', 'g') AS e FROM logged)
 SELECT conv_id, count(*) AS n_turns,
@@ -219,4 +259,14 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length(role) + {len(TURN + TEXT + END)} + length(regexp_replace(e, '(\\[)(/?INST\\])', '\\1\\\\\\2', 'g'))) AS BIGINT) AS formatted_chars
 FROM escaped GROUP BY conv_id"""
+ORACLE = {
+    "op7_chat_format": f"""
+WITH logged AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{PROBE}'),{_DIGEST_SQL}""",
+    "chat_event_log": f"""
+WITH logged AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role,
+         CASE WHEN role = 'assistant' AND conv_id % 3 = 0 THEN 'Once more: ' WHEN role = 'user' AND conv_id % 5 = 0 THEN 'Rather: ' ELSE '' END || coalesce(text, '') AS text
+  FROM conversations),{_DIGEST_SQL}""",
 }

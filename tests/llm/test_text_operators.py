@@ -188,6 +188,30 @@ def test_log_is_folded(spark, monkeypatch):
     assert max(p.part for p in parts if p.conv_id == 1) > 0
 
 
+def test_events_without_targets_act_on_the_latest_turn(spark):
+    log = [
+        (1, 0, None, None, "user", "hi"), (1, 1, "message", None, "assistant", "He"), (1, 2, "delta", None, "assistant", "llo"),
+        (1, 3, "message", None, "user", "b"), (1, 4, "delta", None, "user", "ye"), (1, 5, "regenerate", None, "assistant", "Hey"),
+        (1, 6, "delta", 1, "assistant", "!"), (1, 7, "edit", None, "user", "later"), (1, 8, "delta", None, "user", "."),
+        (2, 0, "delta", None, "assistant", "lo"), (2, 1, "delta", None, "assistant", "ne"),
+        (3, 0, "message", None, "user", "u"), (3, 1, "regenerate", None, "assistant", "a"), (3, 2, "delta", None, "assistant", "b"), (3, 3, "regenerate", None, "assistant", "c"),
+        (4, 0, "edit", 9, "user", "x"), (4, 1, "delta", None, "user", "y"), (4, 2, "edit", 5, "user", "z"),
+        (None, None, "message", None, None, None), (None, None, "delta", None, None, "n"),
+    ]
+    df = spark.createDataFrame(log, "conv_id long, turn long, event string, target long, role string, text string")
+    said = {}
+    for p in chat.format_conversations(df.repartition(3), event="event", target="target").collect():
+        said.setdefault(p.conv_id, []).extend(chat.parse(p.formatted))
+    assert said == {
+        1: [("user", "hi"), ("assistant", "Hey!"), ("user", "later.")],
+        2: [("assistant", "lone")],
+        3: [("user", "u"), ("assistant", "c")],
+        4: [("user", "z"), ("user", "xy")],
+        None: [("", "n")],
+    }
+    assert chat.format_conversations(df.limit(0), event="event", target="target").count() == 0
+
+
 def test_chat_query_on_edges(spark, tmp_path):
     log = [(7, 1, "assistant", None), (7, 0, None, "a\n"), (7, 1, "assistant", "b"), (7, 1, "assistant", "b"), (None, 3, "user", "x"), (None, None, "user", "y" * 40_000), (8, None, None, None)]
     spark.createDataFrame([(*r, "z") for r in log], "conv_id long, turn long, role string, text string, formatted string").write.parquet(str(tmp_path / "conversations.parquet"))
