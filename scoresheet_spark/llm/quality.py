@@ -1,20 +1,24 @@
 """Quality rules with risk-controlled thresholds.
 
 Each document gets counts of its words, lines and symbols, and from them scores for a handful of rules
-(high is bad). A rule's cutoff within a stratum (the document's language) comes from labelled holdouts: the
-cutoffs of a fixed grid are tried from the most lenient one on, and a cutoff stays as long as an exact
-binomial test says that it rejects at most a share `risk` of the good documents of its stratum. Testing in
-fixed order stops at the first failure, so that the tests of one rule need no correction among them, and any cutoff
-that passed may be used: the most lenient one that rejects the most bad documents net of good ones is. The
-rules of all strata share the error `delta` by Bonferroni's correction, and the risk is shared by the rules.
-With probability 1 - delta no stratum loses more than `risk` of its good documents to the rules.
+(high is bad). The rules of a stratum (the document's language) share one cutoff, which moves along a fixed grid from
+the most lenient score to the strictest: a document fails as soon as one of its scores reaches it. Labelled
+holdouts certify cutoffs in this order as long as an exact binomial test says that the rules together reject at
+most a share `risk` of the good documents of the stratum. Testing in fixed order stops at the first failure, so
+that the tests of a stratum need no correction among them, and any cutoff that passed may be used: the most
+lenient one that rejects the most bad documents net of good ones is. Strata share the error `delta` by
+Bonferroni's correction. With probability 1 - delta no stratum loses more than `risk` of its good documents.
 
-Labels are joined once, by key; what is gathered are counts on the grid, by stratum and rule, summed on
-the map side. Cutoffs are a table of a row for each stratum and rule and are joined by stratum.
+A stratum whose good labels are so few that no cutoff could pass (under 228 at four strata) joins a pool of all
+such strata, which counts as one more: there the bound holds for the pool as a whole and not for each of its strata.
+
+Labels are joined once, by key; what is gathered are counts on the grid, by stratum, summed on the map side.
+Cutoffs are a table of a row for each stratum and are joined by stratum. Only labelled texts are measured for them.
 
 Edge cases: a null text has no words; a text of any length is read whole; a null stratum is its own; strata
 without labels get no cutoffs, so only the base rule holds there; repeated rows are judged each; repeated
-labels of a document count once, as good only if all say good; an empty table gives no rows.
+labels of a document count once, as good only if all say good; an empty table gives no rows; columns may have any
+names, those of the counts included, but for the stratum column of `judge_documents`, which returns it beside the counts.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .common import cut, slices, small, table, texts
 
@@ -108,9 +112,6 @@ def rule_scores(c) -> dict[str, Column]:
     }
 
 
-RULES = ("symbols", "dup_lines", "repeats", "upper", "word_length")
-
-
 def grid_step(score: Column) -> Column:
     """The strictest grid step that still rejects the score: step s rejects scores of 1 - s / GRID and more, step 0 none."""
     return F.greatest(F.lit(0), F.least(F.lit(GRID), F.floor((1 - score) * GRID) + 1)).cast("int")
@@ -154,54 +155,65 @@ def certified_step(good: dict[int, int], bad: dict[int, int], n: int, risk: floa
 
 
 def fit_cutoffs(counts: DataFrame, labels: DataFrame, strata: str = "lang", key: str = "doc_id", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """(stratum, one column of grid steps for each rule) from the labelled documents that pass the base rule. Labels are 1 (good) and 0."""
-    said = labels.filter(F.col("quality").isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min("quality").alias("_quality"))
-    rows = counts.filter(~F.col("base_failed")).select(F.col(key).alias("_key"), F.col(strata).alias("stratum"), *(grid_step(s).alias(r) for r, s in rule_scores(F.col).items()))
-    rows = rows.join(said, "_key")
-    each = rows.select("stratum", "_quality", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("step")) for r in RULES))).alias("x")).select("stratum", "_quality", "x.*")
+    """(_stratum, _cutoff) from the labelled documents that pass the base rule. Labels are 1 (good) and 0."""
+    first = F.least(*(grid_step(s) for s in rule_scores(F.col).values()))
+    rows = counts.filter(~F.col("base_failed")).select(F.col(f"`{key}`").alias("_key"), F.col(f"`{strata}`").alias("_stratum"), first.alias("step"))
     counted = [F.count(F.when(F.col("_quality") == q, 1)).alias(name) for q, name in ((1, "good"), (0, "bad"))]
-    seen = each.groupBy("stratum", "rule", "step").agg(*counted)  # strata x rules x grid rows
-    n_tests = F.count_distinct(F.coalesce(F.concat(F.lit("="), "stratum"), F.lit(""))) * len(RULES)
-    tests = seen.agg(n_tests.alias("n_tests"))
-    found = seen.groupBy("stratum", "rule").agg(F.sum("good").alias("n"), *(F.map_from_entries(F.collect_list(F.struct("step", c))).alias(c) for c in ("good", "bad"))).crossJoin(F.broadcast(tests))
+    seen = cut(rows.join(_said(labels, key), "_key").groupBy("_stratum", "step").agg(*counted))  # strata x grid rows
+    sizes = seen.groupBy("_stratum").agg(F.sum("good").alias("n"))
+    tests = sizes.agg((F.count(F.lit(1)) + 1).alias("n_tests"))  # the pool is one more
+    enough = F.col("n") * math.log1p(-risk) <= F.log(F.lit(delta) / F.col("n_tests"))
+    members = sizes.crossJoin(F.broadcast(tests)).select("_stratum", "n_tests", F.when(enough, F.struct("_stratum")).alias("of"))
+    found = seen.join(members.withColumnRenamed("_stratum", "_s"), F.col("_stratum").eqNullSafe(F.col("_s"))).groupBy("of", "n_tests", "step").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    found = found.groupBy("of", "n_tests").agg(F.sum("good").alias("n"), *(F.map_from_entries(F.collect_list(F.struct("step", c))).alias(c) for c in ("good", "bad")))
+    schema = StructType([found.schema["of"], StructField("_cutoff", IntegerType())])
 
     def cutoffs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            steps = [certified_step(dict(x["good"]), dict(x["bad"]), x["n"], risk / len(RULES), delta / x["n_tests"]) for x in b.to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("stratum"), b.column("rule"), pa.array(steps, pa.int32())], names=["stratum", "rule", "cutoff"])
+            steps = [certified_step(dict(x["good"]), dict(x["bad"]), x["n"], risk, delta / x["n_tests"]) for x in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("of"), pa.array(steps, pa.int32())], names=["of", "_cutoff"])
+
+    fitted = found.mapInArrow(cutoffs, schema).withColumnRenamed("of", "_of")
+    return members.join(fitted, F.col("of").eqNullSafe(F.col("_of"))).select("_stratum", "_cutoff")
 
-    rows = found.mapInArrow(cutoffs, f"stratum {counts.schema[strata].dataType.simpleString()}, rule string, cutoff int")
-    return rows.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES))
+
+def _said(labels: DataFrame, key: str) -> DataFrame:
+    """(_key, _quality) of labelled documents."""
+    return labels.filter(F.col("quality").isNotNull() & F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("_key")).agg(F.min("quality").alias("_quality"))
 
 
 def _judged(counts: DataFrame, cutoffs: DataFrame, stratum: Column) -> DataFrame:
     """`counts` with failed_rules and kept."""
-    strata = small(cut(cutoffs))
-    joined = counts.join(strata, stratum.eqNullSafe(strata["stratum"]), "left")
-    over = [F.when((F.col(f"cut_{r}") >= 1) & grid_step(s).between(1, F.col(f"cut_{r}")), F.lit(r)) for r, s in rule_scores(F.col).items()]
+    joined = counts.join(small(cut(cutoffs)), stratum.eqNullSafe(F.col("_stratum")), "left")
+    over = [F.when((F.col("_cutoff") >= 1) & grid_step(s).between(1, F.col("_cutoff")), F.lit(r)) for r, s in rule_scores(F.col).items()]
     joined = joined.withColumn("failed_rules", F.array_compact(F.array(*over)))
     return joined.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
-def _counted(docs: DataFrame, strata: str, key: str) -> DataFrame:
-    """The counts of all documents, in a checkpoint: cutoffs and verdicts both read them."""
-    rows = count_words(docs.select(F.struct(key, strata, "text").alias("row")))
-    return cut(rows.select(F.col(f"row.{key}").alias(key), F.col(f"row.{strata}").alias(strata), *COUNTS, "base_failed"))
+def _counts(docs: DataFrame, strata: str, key: str) -> DataFrame:
+    """Key, stratum, COUNTS and base_failed of documents."""
+    rows = count_words(docs.select(F.struct(F.col(f"`{key}`"), F.col(f"`{strata}`"), "text").alias("row")))
+    return rows.select(F.col(f"row.`{key}`").alias(key), F.col(f"row.`{strata}`").alias(strata), *COUNTS, "base_failed")
 
 
 def judge_documents(docs: DataFrame, labels: DataFrame, strata: str = "lang", key: str = "doc_id") -> DataFrame:
     """Key, stratum, COUNTS, base_failed, failed_rules and kept of every document."""
-    counts = _counted(docs, strata, key)
-    judged = _judged(counts, fit_cutoffs(counts, labels, strata, key), F.col(strata))
-    return judged.select(key, strata, *COUNTS, "base_failed", "failed_rules", "kept")
+    counts = cut(_counts(docs, strata, key))  # cutoffs and verdicts both read them
+    judged = _judged(counts, fit_cutoffs(counts, labels, strata, key), F.col(f"`{strata}`"))
+    return judged.select(F.col(f"`{key}`"), F.col(f"`{strata}`"), *COUNTS, "base_failed", "failed_rules", "kept")
+
+
+#: Keys of labelled documents that are broadcast, at most; beyond, labels join by shuffle.
+LABEL_KEYS = 1_000_000
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, strata: str = "lang", key: str = "doc_id") -> DataFrame:
-    """The documents that pass all rules, with all their columns. Texts are counted where they lie and are not shuffled."""
-    cutoffs = fit_cutoffs(_counted(docs, strata, key), labels, strata, key)
+    """The documents that pass all rules, with all their columns. Texts are counted where they lie."""
+    told = docs.join(small(_said(labels, key).select(F.col("_key").alias("_told")), LABEL_KEYS), F.col(f"`{key}`") == F.col("_told"), "left_semi")
+    cutoffs = fit_cutoffs(_counts(told, strata, key), labels, strata, key)
     counts = count_words(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")))
-    kept = _judged(counts, cutoffs, F.col(f"row.{strata}")).filter("kept")
-    return kept.select(*(F.col(f"row.`{c}`") for c in docs.columns))
+    kept = _judged(counts, cutoffs, F.col(f"row.`{strata}`")).filter("kept")
+    return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -300,6 +300,20 @@ def test_rules_reject_what_labels_tell_apart(spark):
     assert quality.keep_documents(docs.limit(0), labels).columns == docs.columns
 
 
+@pytest.mark.parametrize("good, bad", [({"en": 300, "de": 250}, {"en": 30, "de": 20}), ({"en": 120, "de": 90, "fr": 60}, {"en": 9, "de": 6, "fr": 5}), ({"en": 300, "de": 40}, {"en": 10, "de": 4})])
+def test_few_labels_suffice(spark, good, bad):
+    """Some 230 good labels certify a stratum; strata with fewer are judged as a pool, if that has enough."""
+    rng = random.Random(3)
+    rows = [(" ".join(words_of(rng, 60)), g, 1) for g, n in good.items() for _ in range(n)] + [(" ".join(w + "###" for w in words_of(rng, 60)), g, 0) for g, n in bad.items() for _ in range(n)]
+    rows = [(i, *r) for i, r in enumerate(rows)]
+    docs = spark.createDataFrame([(i, t, g, "x", 1) for i, t, g, _ in rows] + [(-1, rows[-1][1], "other", "x", 1)], ROWS + ", stratum string, `a.b` string, n_words int")
+    kept = {r.doc_id for r in quality.keep_documents(docs, spark.createDataFrame([(i, q) for i, _, _, q in rows], "doc_id long, quality int"), "stratum").collect()}
+    judged = {n for n, k in good.items() if k >= 230}
+    if sum(k for n, k in good.items() if n not in judged) >= 230:
+        judged = set(good)
+    assert kept == {-1} | {i for i, _, g, q in rows if q == 1 or g not in judged}
+
+
 # --- languages
 
 
