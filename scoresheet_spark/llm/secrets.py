@@ -3,7 +3,8 @@
 Base patterns give spans as they are. Further candidates are long strings of key characters; a window slides
 over each, and the Shannon entropy of its characters follows from counts that change by one character in and
 one out. A candidate is a secret when some window's entropy reaches the threshold of its character class
-(hexadecimal or base 64), unless an allow-list pattern fits it or it overlaps a base span.
+(hexadecimal or base 64), unless an allow-list pattern fits it. Of a candidate that base spans overlap, what they
+leave is judged.
 
 Positions are code points, ends exclusive. They come from splitting the text at a pattern: the lengths of
 what lies between matches and of the matches add up, in blocks, so that many matches cost no square.
@@ -114,10 +115,11 @@ def find_secrets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
         rows = rows.withColumn(kind, F.filter(kind, _long_enough(least)))
     rows = _matches(rows, CANDIDATE, 0, "_found")
     base = F.concat(*(F.col(kind) for kind, *_ in BASE))
-    rows = rows.withColumn("_base", base)
-    hidden = lambda c: F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    rows = rows.withColumn("_base", F.array_sort(F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end")))))
+    hides = lambda c: lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])
+    rows = rows.withColumn("_found", F.flatten(F.transform("_found", lambda c: F.when(F.exists("_base", hides(c)), _rest(c, F.filter("_base", hides(c)))).otherwise(F.array(c)))))
     allowed = lambda c: F.expr("false") if not ALLOWED else _any([c["hit"].rlike(p) for p in ALLOWED])
-    rows = rows.withColumn("_found", F.filter("_found", lambda c: ~hidden(c) & ~allowed(c)))
+    rows = rows.withColumn("_found", F.filter("_found", lambda c: ~allowed(c)))
     rank = len(BASE)
     listed = [F.transform(kind, _span(i, kind)) for i, (kind, *_) in enumerate(BASE)]
     is_hex = lambda c: c["hit"].rlike(CLASSES[0][1])
@@ -128,6 +130,17 @@ def find_secrets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     return rows.drop("_found", "_base", "_judged")
 
 
+def _rest(c: Column, spans: Column) -> Column:
+    """What base spans, in order, leave of a candidate, where that is a candidate itself."""
+    piece = lambda start, end: F.struct(start.alias("start"), end.alias("end"), F.substring(c["hit"], start - c["start"] + 1, end - start).alias("hit"))
+    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    step = lambda a, b: F.struct(F.greatest(a["at"], b["end"]).alias("at"), F.when(b["start"] > a["at"], F.concat(a["out"], F.array(piece(a["at"], b["start"])))).otherwise(a["out"]).alias("out"))
+    last = lambda a: F.when(a["at"] < c["end"], F.concat(a["out"], F.array(piece(a["at"], c["end"])))).otherwise(a["out"])
+    pieces = F.aggregate(spans, F.struct(c["start"].alias("at"), none.alias("out")), step, last)
+    kept = F.filter(pieces, lambda x: (F.length(x["hit"]) >= WINDOW) & x["hit"].rlike("[0-9]") & x["hit"].rlike("[A-Za-z]"))
+    return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"), x["hit"].alias("part")))
+
+
 def _long_enough(least: int):
     return lambda x: F.length(x["part"]) >= least
 
