@@ -1,10 +1,12 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
-A text's UTF-8 bytes are cut after every line and wherever the gear hash of the last 16 bytes has five leading
-zero bits. Cuts depend on the bytes around them alone, so an insertion moves no cut beyond its surroundings
-and a shared passage has the same chunks in every text. Chunks are told apart by digest: a chunk is a repeat
-if a document with a smaller key has it, or the same document earlier on. Chunks under 16 bytes carry no
-evidence of their own; they continue a run of repeats but do not begin or end one. Runs of repeats with at
+A text's UTF-8 bytes may be cut after a line and wherever the gear hash of the last 16 bytes has four leading
+zero bits. Of such places within 16 bytes of each other one is taken: ends of lines before others, then the
+greatest hash. So cuts depend on the bytes around them alone, an insertion moves no cut beyond its surroundings,
+a shared passage has the same chunks in every text, and short lines join into chunks that are long enough to be
+evidence: all have 16 bytes, but for the first and last of a text. Chunks are told apart by digest: a chunk is a
+repeat if a document with a smaller key has it; with `within`, if the same document has it earlier on, too. What
+repeats within one document alone stays otherwise: rules for its quality see to it. Runs of repeats with at
 least 25 words are removed: a passage of 50 words keeps that much even where the chunks at its ends also
 hold other text, and the lines that unrelated documents commonly share stay.
 
@@ -31,7 +33,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from .common import U64, mix64, slices, table, texts, values
 
 #: Bytes that the gear hash sees, its leading zero bits at a cut, least bytes of a chunk that is evidence.
-WINDOW, ZERO_BITS, LEAST_BYTES = 16, 5, 16
+WINDOW, ZERO_BITS, LEAST_BYTES = 16, 4, 16
 #: Least words of a run of repeats that is removed.
 MIN_WORDS = 25
 
@@ -53,9 +55,21 @@ def cuts(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
         shifted[inside < w] = 0
         h = h + shifted
         w *= 2
-    at = (h >> U64(64 - ZERO_BITS)) == 0
-    at |= raw == 10
+    line = raw == 10
+    at = ((h >> U64(64 - ZERO_BITS)) == 0) | line
     at[:-1] &= (raw[1:] & 0xC0) != 0x80  # not within a character
+    place = np.flatnonzero(at)
+    rank = (mix64(h[place]) >> U64(1)) | (line[place].astype(U64) << U64(63))
+    # a text begins at place - inside; of equals the first is taken
+    begins, taken = place - inside[place], np.ones(place.size, bool)
+    for k in range(1, LEAST_BYTES):
+        near = (place[k:] - place[:-k] < LEAST_BYTES) & (begins[k:] == begins[:-k])
+        if not near.any():
+            break
+        later = rank[k:] > rank[:-k]
+        taken[:-k] &= ~(near & later)
+        taken[k:] &= ~(near & ~later)
+    at[place[~taken]] = False
     at[starts[(starts > 0) & (starts <= n)] - 1] = True
     at[-1] = True
     return np.flatnonzero(at) + 1
@@ -108,12 +122,12 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return later.groupBy(key).agg(F.collect_set("chunk").alias("repeats"))
 
 
-def repeated_spans(raw: bytes, begins: np.ndarray, ends: np.ndarray, repeat: np.ndarray, short: np.ndarray) -> list[tuple[int, int]]:
+def repeated_spans(raw: bytes, begins: np.ndarray, ends: np.ndarray, repeat: np.ndarray) -> list[tuple[int, int]]:
     """Byte spans of runs of repeats with MIN_WORDS words or more."""
     out, marks = [], np.flatnonzero(repeat)
     if not marks.size:
         return out
-    broken = np.r_[0, np.cumsum(~(repeat | short))]  # chunks that break a run, counted up to each place
+    broken = np.r_[0, np.cumsum(~repeat)]  # chunks that break a run, counted up to each place
     new = np.r_[True, broken[marks[1:]] != broken[marks[:-1]]]
     heads = np.flatnonzero(new)
     for i, j in zip(marks[heads].tolist(), marks[np.r_[heads[1:], marks.size] - 1].tolist(), strict=True):
@@ -123,7 +137,7 @@ def repeated_spans(raw: bytes, begins: np.ndarray, ends: np.ndarray, repeat: np.
     return out
 
 
-def _cut_out(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _cut_out(docs: DataFrame, key: str, text: str, within: bool = False) -> DataFrame:
     """(row, kept, starts, ends, n_chunks): every row, its text without repeats, and their spans in code points."""
     found = find_repeats(docs, key, text).withColumnRenamed(key, "_key")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
@@ -138,14 +152,14 @@ def _cut_out(docs: DataFrame, key: str, text: str) -> DataFrame:
             docs_ = [t.encode("utf-8", "surrogatepass") if t else b"" for t in said]
             of, begins, ends, digests = chunk(docs_)
             bounds = np.searchsorted(of, np.arange(len(docs_) + 1))
-            inner = ~first_in_document(of, digests)
+            inner = ~first_in_document(of, digests) if within else np.zeros(of.size, bool)
             kept, starts_, ends_ = [], [], []
             for i, (raw, repeats) in enumerate(zip(docs_, b.column("repeats").to_pylist(), strict=True)):
                 s, e = int(bounds[i]), int(bounds[i + 1])
                 repeat = inner[s:e].copy()
-                if repeats:
-                    repeat[repeats] = True
-                spans = repeated_spans(raw, begins[s:e], ends[s:e], repeat, digests[s:e] == 0) if keyed[i] else []
+                if repeats:  # and whatever says the same later in the document
+                    repeat |= np.isin(digests[s:e], digests[s:e][repeats])
+                spans = repeated_spans(raw, begins[s:e], ends[s:e], repeat) if keyed[i] else []
                 if not spans:
                     kept.append(said[i])
                     starts_.append([])
@@ -163,9 +177,9 @@ def _cut_out(docs: DataFrame, key: str, text: str) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
-def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", within: bool = False) -> DataFrame:
     """The rows of `docs` with repeated passages removed from `text`; n_chars, where there, follows the text."""
-    found = _cut_out(docs, key, text)
+    found = _cut_out(docs, key, text, within)
     out = {c: F.col(f"row.`{c}`") for c in docs.columns} | {text: F.col("kept")}
     if "n_chars" in out:
         out["n_chars"] = F.when(F.size("starts") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))

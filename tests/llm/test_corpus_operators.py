@@ -215,6 +215,83 @@ def test_planted_passages_go_and_the_rest_stays(spark):
     assert all(r.n_chars == len(r.text) and r.repeats == "k" for r in got.values())
 
 
+def brute_chunks(raw):
+    """Chunks by the definition, a byte at a time."""
+    places = []
+    for i in range(len(raw)):
+        h = sum(int(substring.GEAR[raw[i - k]]) << k for k in range(min(16, i + 1))) % 2**64
+        inside = i + 1 < len(raw) and raw[i + 1] & 0xC0 == 0x80
+        if (raw[i] == 10 or h >> 60 == 0) and not inside:
+            mixed = int(common.mix64(np.array([h], np.uint64))[0])
+            places.append((i, (raw[i] == 10, mixed >> 1)))
+    beaten = lambda i, r: any(j != i and abs(j - i) < 16 and (q > r or (q == r and j < i)) for j, q in places)
+    ends = sorted({i + 1 for i, r in places if not beaten(i, r)} | ({len(raw)} if raw else set()))
+    return list(zip([0, *ends], ends, strict=False))
+
+
+def brute_repeats(rows):
+    """(key, text without repeats) of every row with a key."""
+    owner = {}
+    cut_ = {i: [(s, e, raw[s:e] if e - s >= 16 else None) for s, e in brute_chunks(raw)] for i, raw in rows.items()}
+    for i, chunks in cut_.items():
+        for _, _, said in chunks:
+            owner[said] = min(owner.get(said, i), i)
+    out = {}
+    for i, chunks in cut_.items():
+        kept, run = b"", []
+
+        def close(i=i):
+            nonlocal kept, run
+            said = rows[i][run[0][0] : run[-1][1]] if run else b""
+            kept += said if len(said.split()) < substring.MIN_WORDS else b""
+            run = []
+
+        for c in chunks:
+            if c[2] is not None and owner[c[2]] < i:
+                run.append(c)
+            else:
+                close()
+                kept += rows[i][c[0] : c[1]]
+        close()
+        out[i] = kept.decode()
+    return out
+
+
+def test_substring_query_equals_brute_force(spark, tmp_path):
+    rng = random.Random(17)
+    passages = [rng.choice([" ", "\n"]).join(words_of(rng, rng.randint(10, 90))) for _ in range(8)]
+    rows = {}
+    for i in range(60):
+        parts = [rng.choice(passages) if rng.random() < 0.5 else " ".join(rng.choice(["é", "漢字", "a", "\n", "w%d" % rng.randrange(300)]) for _ in range(rng.randrange(60))) for _ in range(rng.randrange(5))]
+        rows[i] = rng.choice(["\n", " "]).join(parts)
+    spark.createDataFrame(list(rows.items()), ROWS).repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.text for r in substring.op10_substring(spark, str(tmp_path)).collect()}
+    want = brute_repeats({i: t.encode() for i, t in rows.items()})
+    assert got == want and sum(len(want[i]) < len(rows[i]) for i in rows) > 10
+
+
+def test_passages_of_short_lines_are_found(spark):
+    rng = random.Random(19)
+    verse = "\n".join(words_of(rng, 60))
+    rows = [(i, " ".join(words_of(rng, 50)) + "\n" + (verse if i < 3 else "") + "\n" + " ".join(words_of(rng, 40))) for i in range(5)]
+    # a value that differs between lines which repeat stays
+    form = [(10 + i, "\n".join(f"line {k} of the form says this\n{'x%d%d' % (i, k)}" for k in range(12))) for i in range(2)]
+    got = {r.doc_id: r.text for r in substring.dedup_substrings(spark.createDataFrame(rows + form, ROWS)).collect()}
+    assert all(len(got[i]) < len(rows[i][1]) - len(verse) * 0.7 for i in (1, 2)) and all(got[i] == rows[i][1] for i in (0, 3, 4))
+    assert all(f"x1{k}" in got[11] for k in range(12))
+
+
+def test_repeats_within_a_document(spark):
+    rng = random.Random(23)
+    passage = " ".join(words_of(rng, 80))
+    rows = [(1, f"{passage}\n{passage}\nend"), (2, f"begin\n{passage}\n{passage}\nend")]
+    docs = spark.createDataFrame(rows, ROWS)
+    got = {r.doc_id: r.text for r in substring.dedup_substrings(docs).collect()}
+    assert got[1] == rows[0][1] and len(got[2]) < 0.3 * len(passage)
+    got = {r.doc_id: r.text for r in substring.dedup_substrings(docs, within=True).collect()}
+    assert len(got[1]) < 1.4 * len(passage)
+
+
 def test_substrings_on_edges(spark, tmp_path):
     edges(spark, "chunk").write.parquet(str(tmp_path / "documents.parquet"))
     got = Counter((r.doc_id, r.text, r.removed_chars > 0) for r in substring.op10_substring(spark, str(tmp_path)).collect())
