@@ -14,6 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes handled at once inside one Python worker.
 SLICE_BYTES = 1_500_000
+#: Rows of an Arrow batch between JVM and Python, in the registered queries and the pipeline.
+BATCH_ROWS = 1_000
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of BATCH_ROWS rows at most: JVM and Python hold a few of them for each task at any time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(name))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

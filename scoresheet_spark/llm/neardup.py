@@ -194,19 +194,19 @@ def sign(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = RO
     return src.mapInArrow(run, schema)
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, elements): the shingles of every text, a shingle's further occurrences as elements of their own."""
+def shingle_sets(rows: DataFrame) -> DataFrame:
+    """(key, content_a, content_b, elements): the shingles of every text of `rows` (key, text), a shingle's further occurrences as elements of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            hashes, sizes, _ = shingles(texts(b))
+            hashes, sizes, words = shingles(texts(b))
             elements, weights, n = counted(hashes, sizes)
             times = weights.astype(np.int64)
             cell = ragged(np.zeros(len(times), np.int64), times)
             all_ = np.where(cell == 0, np.repeat(elements, times), mix64(np.repeat(elements, times) + cell.astype(U64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets(sizes)), pa.array(all_.view(np.int64)))], names=[key, "elements"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *_contents(words), pa.ListArray.from_arrays(pa.array(offsets(sizes)), pa.array(all_.view(np.int64)))], names=["key", "content_a", "content_b", "elements"])
 
-    return docs.select(key, F.col(text).alias("text")).mapInArrow(run, f"{key} bigint, elements array<bigint>")
+    return rows.select("key", "text").mapInArrow(run, "key bigint, content_a bigint, content_b bigint, elements array<bigint>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -308,8 +308,9 @@ def find_links(contents: DataFrame, rows: DataFrame) -> DataFrame:
     degrees, _ = settled(entries.groupBy("doc").agg(F.sum(F.col("n") - 1).alias("degree")))
     entries, _ = settled(entries.drop("n").join(degrees, "doc").select("bucket", "doc", "degree"))
     met, _ = settled(contents.drop("bands").join(small(degrees.select("doc")), "doc", "left_semi"))
-    mine = digested(rows).select("row.key", "row.text", "content_a", "content_b")
-    sets = shingle_sets(_among(mine, small(met), "inner").select("doc", "text"), "doc")
+    # one pass of Python over the texts with these keys; rows that share a key and not the content go after it
+    near = small(met.select(F.col("key").alias("_key")))
+    sets = _among(shingle_sets(rows.join(near, rows["key"].eqNullSafe(near["_key"]), "left_semi")), small(met), "inner").select("doc", "elements")
     if met.filter("n > 1").limit(1).count():  # rows that are equal, key and all
         sets = sets.groupBy("doc").agg(F.first("elements").alias("elements"))
     sets, _ = settled(sets, 2_000)

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
 from . import bpe, chat, langid, neardup, packing, quality, secrets, substring, topk, url_filter
+from .common import bounded
 
 MODULES = (bpe, packing, url_filter, neardup, secrets, quality, chat, langid, topk, substring)
 
 
+def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: query(bounded(spark), sf_dir)
+
+
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
+    return {k: _bounded(f) for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
