@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scoresheet_spark.llm.bpe import vocabulary
-from scoresheet_spark.llm.common import shared_dir, table
+from scoresheet_spark.llm.common import bounded, shared_dir, table
 from scoresheet_spark.llm.neardup import keep_first
 from scoresheet_spark.llm.packing import END_ID, SEQUENCE_TOKENS, WORD_BPE, pack_documents
 from scoresheet_spark.llm.quality import keep_documents
@@ -62,7 +62,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A stage's folder goes once the next one has been written; the last one's stays.
     """
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base = f"{shared_dir(bounded(spark))}/pipeline-{uuid.uuid4().hex}"
     docs, before = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         path = f"{base}/{i}-{name}"
