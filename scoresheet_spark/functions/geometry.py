@@ -38,6 +38,11 @@ def normalised_centre(x1: Column, y1: Column, x2: Column, y2: Column, width: Col
     return (x1 + x2) / 2 / width, (y1 + y2) / 2 / height, (x2 - x1) / width, (y2 - y1) / height
 
 
+def pixel_corners(cx: Column, cy: Column, w: Column, h: Column, width: Column, height: Column) -> tuple[Column, Column, Column, Column]:
+    """Corners in pixels of a box whose centre and size are shares of the image."""
+    return tuple(c * side for c, side in zip(corners(cx, cy, w, h), (width, height, width, height), strict=True))
+
+
 def upright(x: Column, y: Column, w: Column, h: Column) -> tuple[Column, Column, Column, Column]:
     """The same rectangle with width and height that aren't negative."""
     return F.least(x, x + w), F.least(y, y + h), F.abs(w), F.abs(h)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import normalised_centre
 from ..sources.labels import label_files
+from ..sources.paths import settled
 from . import detect, infer
 from .labels import unlabelled
 
@@ -35,34 +36,42 @@ def auto_label(
 ) -> DataFrame:
     """(path, text) of the label files that a detector makes for images (path, content).
 
-    With `remaining_only` just images without a filled label file are looked at; images without detections
+    The model runs once for each image. With `remaining_only` just images without a filled label file are looked at; images without detections
     get an empty file, unreadable ones none.
     """
     chosen = unlabelled(images, labels) if remaining_only else images
-    outputs = infer.infer(chosen, load, read, canvas)
+    outputs = settled(infer.infer(chosen, load, read, canvas))  # the model sees each image once; sizes, both layouts and files read what it said
     readable = outputs.filter(F.col("width").isNotNull())
     found = detect.decode(readable.withColumnRenamed("path", "image_id"), confidence, iou, n_classes, canvas=canvas)
     return label_files(readable.select("path"), detections_as_boxes(found, readable.select("path", "width", "height")))
 
 
+#: Bytes of encoded templates in one batch, about.
+MOST_BYTES = 16_000_000
+
+
 def cut_templates(photos: DataFrame, read: Callable[[bytes], np.ndarray | None], encode: Callable[[np.ndarray], bytes]) -> DataFrame:
     """(path, template) of photos (path, content, turns, x, y, w, h): turned clockwise by quarter turns, cut to the region, encoded.
 
     The region refers to the turned photo and is clipped to it; one without area gives null, like an unreadable photo.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for r in batch.itertuples(index=False):
-                image = read(r.content)
-                if image is None:
-                    made.append(None)
-                    continue
-                image = np.rot90(image, -int(r.turns))
-                x, y = max(0, int(r.x)), max(0, int(r.y))
-                part = image[y : max(0, int(r.y) + int(r.h)), x : max(0, int(r.x) + int(r.w))]
+            paths, made, held = [], [], 0
+            for i in range(batch.num_rows):
+                path, content, turns, x, y, w, h = (c[i].as_py() for c in batch.columns)
+                image, part = read(content), np.zeros(0)
+                if image is not None:
+                    image = np.rot90(image, -int(turns))
+                    part = image[max(0, int(y)) : max(0, int(y) + int(h)), max(0, int(x)) : max(0, int(x) + int(w))]
+                paths.append(path)
                 made.append(encode(np.ascontiguousarray(part)) if part.size else None)
-            yield pd.DataFrame({"path": batch["path"], "template": made})
+                held += len(made[-1] or b"")
+                if held >= MOST_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(made, pa.binary())], names=["path", "template"])
+                    paths, made, held = [], [], 0
+            if paths:
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(made, pa.binary())], names=["path", "template"])
 
-    return photos.select("path", "content", "turns", "x", "y", "w", "h").mapInPandas(run, "path string, template binary")
+    return photos.select("path", "content", "turns", "x", "y", "w", "h").mapInArrow(run, "path string, template binary")

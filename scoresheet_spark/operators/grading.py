@@ -15,8 +15,9 @@ INVALID = "Invalid payload."
 
 
 def parse_payloads(df: DataFrame, json: str = "payload", seq: str = "seq") -> DataFrame:
-    """Submissions out of JSON messages; lists that are missing are empty, unreadable messages are null throughout."""
-    rows = df.select(F.col(seq).cast("bigint").alias("seq"), F.from_json(F.col(json), SCHEMAS["submission"]).alias("p")).select("seq", "p.*")
+    """Submissions out of JSON messages; lists that are missing are empty, unreadable messages are null throughout. `client_id`, where there, is kept."""
+    client = [c for c in ("client_id",) if c in df.columns]
+    rows = df.select(F.col(seq).cast("bigint").alias("seq"), *client, F.from_json(F.col(json), SCHEMAS["submission"]).alias("p")).select("seq", *client, "p.*")
     return rows.withColumn("essay_scores", F.coalesce("essay_scores", F.array().cast("array<double>"))).withColumn("mistakes", F.coalesce("mistakes", F.array().cast("array<struct<q:int,student_ans:string,correct_ans:string>>")))
 
 
@@ -36,10 +37,11 @@ def verdict(found: Column, valid: Column, first_seq: Column, seq: Column) -> Col
 
 
 def response(df: DataFrame) -> DataFrame:
-    """Answers to scans from verdict, total_score, student_id and previous_score."""
+    """Answers to scans from verdict, total_score, student_id and previous_score; `client_id`, where there, says whom each is for."""
     v = F.col("verdict")
     return df.select(
         "seq",
+        *(c for c in ("client_id",) if c in df.columns),
         F.when(v == "success", "success").otherwise("error").alias("status"),
         F.when(v != "success", v).alias("error_type"),
         F.when(v == "success", F.col("total_score")).alias("total_score"),
@@ -57,9 +59,10 @@ def grade(submissions: DataFrame, registry: DataFrame) -> DataFrame:
     known = registry.select(F.col("student_id")).distinct().withColumn("_found", F.lit(True))
     rows = submissions.join(known, "student_id", "left").withColumn("_found", F.coalesce("_found", F.lit(False))).withColumn("_valid", complete(submissions))
     keys = ["session_id", "student_id"]
-    first = rows.filter("_found AND _valid").groupBy(*keys).agg(F.min(F.struct("seq", "total_score")).alias("_first"))
+    counted = rows.filter("_found AND _valid")
+    first = counted.groupBy(*keys).agg(F.min("seq").alias("_first"), F.min_by("total_score", "seq").alias("_score"))
     joined = rows.join(first, keys, "left")
-    return joined.withColumn("verdict", verdict(F.col("_found"), F.col("_valid"), F.col("_first.seq"), F.col("seq"))).withColumn("previous_score", F.col("_first.total_score")).drop("_found", "_valid", "_first")
+    return joined.withColumn("verdict", verdict(F.col("_found"), F.col("_valid"), F.col("_first"), F.col("seq"))).withColumn("previous_score", F.col("_score")).drop("_found", "_valid", "_first", "_score")
 
 
 def numbered(df: DataFrame, order: str, name: str, width: int = 1_000_000) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .detect import CANVAS
@@ -50,28 +50,49 @@ def tensor(image: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(image[:, :, ::-1].transpose(2, 0, 1), np.float32)[None] / np.float32(255)
 
 
-def rows_of(output: np.ndarray) -> list[list[float]]:
-    """A model's output as rows: axes of length 1 go, one row stays a row."""
+def rows_of(output: np.ndarray) -> np.ndarray:
+    """A model's output as a matrix of rows: axes of length 1 go, one row stays a row, nothing is no row."""
     out = np.squeeze(np.asarray(output, np.float32))
-    if out.size == 0:
-        return []
-    return np.atleast_2d(out).tolist()
+    return np.atleast_2d(out) if out.size else np.zeros((0, 0), np.float32)
+
+
+#: Numbers of output that one batch holds, about.
+MOST_NUMBERS = 4_000_000
+
+
+def _batch(paths: list[str], sizes: list[tuple[int, int] | None], outputs: list[np.ndarray]) -> pa.RecordBatch:
+    """A batch of OUTPUT out of matrices, without Python numbers; images without a size have null fields."""
+    there = np.array([s is not None for s in sizes])
+    counts = np.array([m.shape[0] for m in outputs], np.int64)
+    widths = np.repeat([m.shape[1] for m in outputs], counts)
+    flat = np.concatenate([m.ravel() for m in outputs]) if outputs else np.zeros(0, np.float32)
+    ends = lambda x: pa.array(np.r_[0, np.cumsum(x)].astype(np.int32))
+    inner = pa.ListArray.from_arrays(ends(widths), pa.array(flat, pa.float32()))
+    rows = pa.ListArray.from_arrays(ends(counts), inner, mask=pa.array(~there))
+    side = lambda i: pa.array([None if s is None else s[i] for s in sizes], pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), side(0), side(1), rows], names=["path", "width", "height", "rows"])
 
 
 def infer(images: DataFrame, load: Callable[[], Callable[[np.ndarray], np.ndarray]], read: Callable[[bytes], np.ndarray | None], canvas: tuple[int, int] = (CANVAS, CANVAS)) -> DataFrame:
     """(path, width, height, rows) of images (path, content): what `detect.decode` takes.
 
     `load` makes the model's run function in each worker; `read` turns bytes into an image, None if it can't:
-    such images have null width, height and rows.
+    such images have null width, height and rows. Results leave in batches of about MOST_NUMBERS numbers.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
         for batch in batches:
-            found = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                image = read(content)
-                found.append((path, None, None, None) if image is None else (path, image.shape[1], image.shape[0], rows_of(model(tensor(fit(image, canvas))))))
-            yield pd.DataFrame(found, columns=["path", "width", "height", "rows"]).astype({"width": "Int32", "height": "Int32"})
-
-    return images.select("path", "content").mapInPandas(run, OUTPUT)
+            paths, sizes, outputs = [], [], []
+            for i in range(batch.num_rows):  # one image's bytes at a time
+                image = read(batch.column(1)[i].as_py())
+                paths.append(batch.column(0)[i].as_py())
+                sizes.append(None if image is None else (image.shape[1], image.shape[0]))
+                outputs.append(np.zeros((0, 0), np.float32) if image is None else rows_of(model(tensor(fit(image, canvas)))))
+                if sum(m.size for m in outputs) >= MOST_NUMBERS:
+                    yield _batch(paths, sizes, outputs)
+                    paths, sizes, outputs = [], [], []
+            if paths:
+                yield _batch(paths, sizes, outputs)
+
+    return images.select("path", "content").mapInArrow(run, OUTPUT)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import grading_queries, roster_queries, vision_queries
+from . import editing_queries, grading_queries, roster_queries, store_queries, vision_queries
 
-MODULES = (roster_queries, grading_queries, vision_queries)
+MODULES = (roster_queries, grading_queries, vision_queries, editing_queries, store_queries)
 FLAGSHIP = grading_queries.grading_responses
 
 

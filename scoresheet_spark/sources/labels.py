@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,10 +52,18 @@ def parse_label_lines(lines: DataFrame, path: str = "path", value: str = "value"
     return t.select(path, F.col("t")[0].try_cast("int").alias("class_id"), number(1).alias("cx"), number(2).alias("cy"), number(3).alias("bw"), number(4).alias("bh"))
 
 
+def list_label_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(label_path, length) of the label files of a folder and the folders in it. Contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(folder)
+    return files.select(F.col("path").alias("label_path"), "length")
+
+
 def read_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """Labels of all label files of a folder, with each file's path."""
-    lines = spark.read.text(f"{folder}/*.txt").select(F.col("_metadata.file_path").alias("path"), "value")
-    return parse_label_lines(lines)
+    """Labels of all label files of a folder and the folders in it, with each file's path and `seq`, the box's place in the file."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(folder)
+    lines = files.select("path", F.posexplode(F.split(F.decode("content", "UTF-8"), r"\r?\n")).alias("seq", "value"))
+    parsed = parse_label_lines(lines.select(F.struct("path", "seq").alias("at"), "value"), "at")
+    return parsed.select("at.path", "at.seq", *(c for c in parsed.columns if c != "at"))
 
 
 def format_label(boxes: DataFrame) -> DataFrame:
@@ -61,12 +72,43 @@ def format_label(boxes: DataFrame) -> DataFrame:
 
 
 def label_files(images: DataFrame, boxes: DataFrame, path: str = "path") -> DataFrame:
-    """(path, text) of every image's label file, empty where it has no box. Lines are in order of class and place."""
-    lines = format_label(boxes).groupBy(path).agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("text"))
+    """(path, text) of every image's label file, empty where it has no box.
+
+    Lines are in the order in which boxes were drawn, where they have a `seq`, else in order of class and place. An
+    image has few boxes: they are gathered into its text.
+    """
+    lines = format_label(boxes)
+    line = F.struct("seq", "line") if "seq" in boxes.columns else F.struct("line")
+    lines = lines.groupBy(path).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("text"))
     return images.select(path).join(lines, path, "left").select(path, F.coalesce("text", F.lit("")).alias("text"))
 
 
-def write_label_files(files: DataFrame, folder: str, path: str = "path") -> None:
-    """Writes a text file for each image: a folder of its own under `folder`, replacing what was there."""
-    named = files.select(basename(F.col(path)).alias("image"), F.col("text").alias("value"))
-    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("image").text(folder)
+def write_label_files(files: DataFrame, path: str = "path", text: str = "text", folder: str | None = None) -> DataFrame:
+    """Writes the label file of each image, beside it or under `folder` by its whole path, and tells (label_path, length).
+
+    Executors write the files, each by way of a name of its own that is moved at the end: a task that runs again leaves
+    the same file. An empty text makes a file without bytes. Nothing is written until the result is read.
+    """
+    named = files.select(label_path(F.col(path)).alias("label_path"), F.col(text).alias("text"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from pyarrow import fs
+
+        for b in batches:
+            told = []
+            for label, said in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                bare = label.removeprefix("file:")
+                target = f"{folder.removeprefix('file:').rstrip('/')}/{bare.split('://', 1)[-1].lstrip('/')}" if folder else bare
+                system, at = fs.FileSystem.from_uri(target) if "://" in target else (fs.LocalFileSystem(), target)
+                system.create_dir(at.rpartition("/")[0], recursive=True)
+                data = said.encode() + b"\n" if said else b""
+                staged = f"{at}.{uuid.uuid4().hex}"
+                with system.open_output_stream(staged) as out:
+                    out.write(data)
+                system.move(staged, at)
+                told.append((target, len(data)))
+            yield pa.RecordBatch.from_arrays([pa.array([t[0] for t in told], pa.string()), pa.array([t[1] for t in told], pa.int64())], names=["label_path", "length"])
+
+    return named.mapInArrow(write, "label_path string, length bigint")

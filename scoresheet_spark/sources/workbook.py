@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 #: Rows that a sheet can hold, its header included; a fixed value.
 MAX_ROWS = 1_048_576
+_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
@@ -26,13 +27,16 @@ def _column(reference: str) -> int:
 
 
 def parse_sheet(content: bytes) -> list[list[str | None]]:
-    """Cells of the first sheet as text, None for empty ones."""
+    """Cells of the first sheet, in the workbook's order, as text; None for empty ones, numbers as they are stored."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in si.iter(f"{_NS}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_NS}si")]
-        first = min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+        sheet = ElementTree.fromstring(z.read("xl/workbook.xml")).find(f"{_NS}sheets/{_NS}sheet")
+        links = ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))
+        target = next(r.get("Target") for r in links if r.get("Id") == sheet.get(f"{_REL}id"))
+        first = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
         rows = []
         for row in ElementTree.fromstring(z.read(first)).iter(f"{_NS}row"):
             cells: dict[int, str | None] = {}
@@ -41,6 +45,8 @@ def parse_sheet(content: bytes) -> list[list[str | None]]:
                 said = "".join(t.text or "" for t in c.iter(f"{_NS}t")) if kind == "inlineStr" else None if v is None else v.text
                 if kind == "s" and said is not None:
                     said = shared[int(said)]
+                elif kind == "b" and said is not None:
+                    said = "True" if said == "1" else "False"
                 cells[_column(c.get("r")) if c.get("r") else i] = said
             rows.append([cells.get(i) for i in range(max(cells, default=-1) + 1)])
         return rows

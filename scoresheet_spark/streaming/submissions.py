@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ..operators.grading import complete, parse_payloads
+from ..operators.grading import complete, numbered, parse_payloads
+from ..sources.config import exists
 
 GRADED = "seq bigint, session_id string, student_id string, total_score double, verdict string, previous_score double"
 
@@ -29,6 +30,12 @@ def read_payloads(messages: DataFrame, value: str = "value", seq: str = "seq") -
     return parse_payloads(messages, value, seq)
 
 
+def read_lines(spark: SparkSession, folder: str, **options: str) -> DataFrame:
+    """New lines of text files in a folder as a stream: (seq, client_id, payload), a JSON object each."""
+    lines = spark.readStream.options(**options).text(folder)
+    return lines.select(F.from_json("value", "seq bigint, client_id string, payload string").alias("m")).select("m.*")
+
+
 def with_registry(submissions: DataFrame, registry: DataFrame) -> DataFrame:
     """Each message looks the registry up as it is processed."""
     known = registry.select("student_id").distinct().withColumn("found", F.lit(True))
@@ -65,7 +72,7 @@ def grade_stream(submissions: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def accepted_stream(submissions: DataFrame, registry: DataFrame, watermark: tuple[str, str] | None = None) -> DataFrame:
-    """Only the scans that count, by the engine's own state: the first of each pair that a micro-batch shows."""
+    """Only the scans that count, by the engine's own state: one of each pair, of an earlier micro-batch before a later one and any within one."""
     rows = with_registry(submissions, registry).filter("found AND valid")
     if watermark:
         rows = rows.withWatermark(*watermark)
@@ -77,3 +84,30 @@ def run_to_files(stream: DataFrame, out: str, checkpoint: str, available_now: bo
     """Starts the stream into Parquet files; exactly once by its checkpoint. With `available_now` it ends with the input."""
     writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def run_to_store(graded: DataFrame, path: str, checkpoint: str, available_now: bool = True):
+    """Starts a stream of verdicts that adds the grades that count to the store at `path`, in a folder for each batch.
+
+    A batch that runs again after a failure replaces its own folder, so that every grade is there once. Scan ids
+    go on from those of earlier batches, in order of arrival.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        kept = batch.filter("verdict = 'success'").select("seq", "session_id", "student_id", F.col("total_score").alias("final_score"))
+        before = 0
+        if exists(spark, path):
+            earlier = read_store(spark, path).filter(F.col("batch") < number)
+            before = earlier.agg(F.coalesce(F.max("scan_id"), F.lit(0))).first()[0]
+        rows = numbered(kept.persist(), "seq", "scan_id").withColumn("scan_id", F.col("scan_id") + before)
+        rows.drop("seq").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        kept.unpersist()
+
+    writer = graded.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """Grades that `run_to_store` has written, with the batch of each."""
+    return spark.read.schema("session_id string, student_id string, final_score double, scan_id bigint, batch bigint").parquet(path)

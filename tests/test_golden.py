@@ -1,7 +1,10 @@
 """Hand-made rows for the semantics that decide correctness."""
 
+import io
 import json
 import socket
+import uuid
+import zipfile
 
 import numpy as np
 import pytest
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scoresheet_spark.functions import geometry, text
 from scoresheet_spark.operators import autolabel, blueprint, detect, grading, infer, labels, positions, roster
-from scoresheet_spark.sources import config, packets, schemas, workbook
+from scoresheet_spark.sources import config, images, packets, schemas, workbook
 from scoresheet_spark.sources import labels as files
 from scoresheet_spark.streaming import log, submissions
 
@@ -130,9 +133,16 @@ def test_label_files_cover_images_without_boxes_and_round_trip(spark, tmp_path):
     images = spark.createDataFrame([("a.jpg",), ("b.jpg",)], "path string")
     got = by(files.label_files(images, boxes), "path", "text")
     assert got == {"a.jpg": "0 0.100000 0.200000 0.300000 0.400000\n1 0.500000 0.250000 0.100000 0.200000", "b.jpg": ""}
-    files.write_label_files(files.label_files(images, boxes), str(tmp_path / "labels"))
-    files.write_label_files(files.label_files(images.filter("path = 'a.jpg'"), boxes.limit(0)), str(tmp_path / "labels"))
-    assert spark.read.text(str(tmp_path / "labels")).filter("value <> ''").count() == 0
+    shots = spark.createDataFrame([(f"{tmp_path}/a/x.jpg",), (f"{tmp_path}/b/x y.jpg",), (f"{tmp_path}/b/z.png",)], "path string")
+    drawn = spark.createDataFrame([(f"{tmp_path}/a/x.jpg", 2, 9, 0.5, 0.25, 0.1, 0.2), (f"{tmp_path}/a/x.jpg", 1, 3, 0.1, 0.2, 0.3, 0.4), (f"{tmp_path}/b/z.png", 1, 0, 0.5, 0.5, 0.5, 0.5)], "path string, seq int, class_id int, cx double, cy double, bw double, bh double")
+    for _ in range(2):  # writing again leaves the same files
+        told = by(files.write_label_files(files.label_files(shots, drawn)), "label_path", "length")
+    assert told[f"{tmp_path}/b/x y.txt"] == 0 and (tmp_path / "b" / "x y.txt").read_bytes() == b""
+    assert sorted(p.name for p in tmp_path.rglob("*.*") if p.suffix != ".crc") == ["x y.txt", "x.txt", "z.txt"]
+    read = sorted((r.path.rpartition("/")[2], r.seq, r.class_id) for r in files.read_labels(spark, str(tmp_path)).collect())
+    assert read == [("x.txt", 0, 3), ("x.txt", 1, 9), ("z.txt", 0, 0)]  # in the order drawn
+    urls = shots.select(F.concat(F.lit("file:"), "path").alias("path"))
+    assert [r[0] for r in labels.unlabelled(urls, files.list_label_files(spark, str(tmp_path))).collect()] == [f"file:{tmp_path}/b/x y.jpg"]
 
 
 def test_class_lists(spark, tmp_path):
@@ -242,12 +252,16 @@ def test_inference_runs_a_model_on_the_executors(spark):
     assert got["b"] == (None, None, None)
     assert got["a"][:2] == (40, 20) and len(got["a"][2]) == 1 and len(got["a"][2][0]) == 7
     assert infer.canvas_of([1, 3, "h", 320]) == (640, 320)
-    assert infer.rows_of(np.zeros((1, 0, 7))) == []
+    assert infer.rows_of(np.zeros((1, 0, 7))).shape[0] == 0
 
 
 def test_auto_labelling(spark):
+    runs = spark.sparkContext.accumulator(0)
+
     def load():
-        return lambda t: np.array([[0, 0, 16, 64, 48, 1, 0.9]], np.float32)
+        return lambda t: runs.add(1) or found(t)
+
+    found = lambda t: np.array([[0, 0, 16, 64, 48, 1, 0.9]], np.float32)
 
     def read(content):
         return None if content == b"bad" else np.full((20, 40, 3), 128, np.uint8)
@@ -255,7 +269,7 @@ def test_auto_labelling(spark):
     images = spark.createDataFrame([("a.jpg", bytearray(b"ok")), ("b.jpg", bytearray(b"bad")), ("c.jpg", bytearray(b"ok"))], "path string, content binary")
     filled = spark.createDataFrame([("c.txt", 9), ("a.txt", 0)], "label_path string, length long")
     got = by(autolabel.auto_label(images, filled, load, read, canvas=(64, 64)), "path", "text")
-    assert got == {"a.jpg": "1 0.487500 0.475000 0.975000 0.950000"}
+    assert got == {"a.jpg": "1 0.487500 0.475000 0.975000 0.950000"} and runs.value == 1
     assert set(by(autolabel.auto_label(images, filled, load, read, remaining_only=False, confidence=0.95, canvas=(64, 64)), "path", "text").values()) == {""}
 
 
@@ -349,3 +363,47 @@ def test_ranges_and_steps(spark):
     assert bad == ["mcq_count", "mcq_points"]
     assert one(spark, text.clamped_step(F.lit(4), 1, F.lit(5)), text.clamped_step(F.lit(0), -1, F.lit(5))) == (4, 0)
     assert one(spark, text.workspace_name(F.lit("My exam")), text.label_path(F.lit("a.b/c.d.png"))) == ("My_exam", "a.b/c.d.txt")
+
+
+# --- images and sheets
+
+
+def exif(orientation, order):
+    n = lambda v, k: v.to_bytes(k, order)
+    tiff = (b"II" if order == "little" else b"MM") + n(42, 2) + n(8, 4) + n(2, 2) + n(0x010F, 2) + n(2, 2) + n(1, 4) + n(0, 4) + n(0x0112, 2) + n(3, 2) + n(1, 4) + n(orientation, 2) + n(0, 2) + n(0, 4)
+    body = b"Exif\0\0" + tiff
+    return b"\xff\xd8\xff\xe0\0\x04ab\xff\xe1" + (len(body) + 2).to_bytes(2, "big") + body + b"\xff\xda\0\x02"
+
+
+def test_orientations_are_read_and_undone():
+    assert [images.exif_orientation(exif(k, order)) for order in ("little", "big") for k in range(10)] == 2 * [1, 1, 2, 3, 4, 5, 6, 7, 8, 1]
+    assert images.exif_orientation(b"") == images.exif_orientation(b"\x89PNG....") == images.exif_orientation(b"\xff\xd8\xff\xda") == 1
+    seen = np.arange(2 * 3 * 3).reshape(2, 3, 3)
+    # how each orientation stores the picture: rows and columns of it
+    stored = {1: seen, 2: seen[:, ::-1], 3: seen[::-1, ::-1], 4: seen[::-1], 5: seen.swapaxes(0, 1), 6: seen.swapaxes(0, 1)[::-1], 7: seen.swapaxes(0, 1)[::-1, ::-1], 8: seen.swapaxes(0, 1)[:, ::-1]}
+    for k, pixels in stored.items():
+        assert (images.upright(pixels, k) == seen).all(), k
+
+
+def test_first_sheet_is_the_workbooks_first(tmp_path):
+    content = workbook.build_sheet(["a"], iter([("x",)]))
+    made = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(content)) as old, zipfile.ZipFile(made, "w") as new:
+        for name in old.namelist():
+            said = old.read(name)
+            if name == "xl/workbook.xml":
+                said = said.replace(b'<sheet name="Sheet1" sheetId="1" r:id="r1"/>', b'<sheet name="First" sheetId="7" r:id="r2"/><sheet name="Sheet1" sheetId="1" r:id="r1"/>')
+            if name == "xl/_rels/workbook.xml.rels":
+                said = said.replace(b"</Relationships>", b'<Relationship Id="r2" Type="t" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+            new.writestr(name, said)
+        new.writestr("xl/worksheets/sheet2.xml", old.read("xl/worksheets/sheet1.xml").replace(b'<c t="inlineStr"><is><t xml:space="preserve">x</t></is></c>', b'<c t="b"><v>1</v></c>'))
+    assert workbook.parse_sheet(made.getvalue()) == [["a"], ["True"]]
+
+
+def test_store_keeps_a_batch_that_runs_again_once(spark, tmp_path):
+    shape = "seq long, session_id string, student_id string, total_score double, verdict string, previous_score double"
+    spark.createDataFrame([(3, "s", "b", 2.0, "success", None), (1, "s", "a", 1.0, "success", None), (2, "s", "a", 1.0, "duplicate_id", 1.0)], shape).write.parquet(str(tmp_path / "in"))
+    for _ in range(2):  # without its log the stream takes the batch for a new one
+        graded = spark.readStream.schema(shape).parquet(str(tmp_path / "in"))
+        submissions.run_to_store(graded, str(tmp_path / "store"), str(tmp_path / uuid.uuid4().hex)).awaitTermination()
+    assert sorted((r.scan_id, r.student_id) for r in submissions.read_store(spark, str(tmp_path / "store")).collect()) == [(1, "a"), (2, "b")]
