@@ -60,12 +60,27 @@ def _chunks(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
+def _check(spec: dict) -> None:
+    """An error for what a tokenizer file asks for and the codec does not do."""
+    model, pre, normal = spec["model"], spec["pre_tokenizer"], spec["normalizer"]
+    steps = pre.get("pretokenizers", [pre])
+    kinds = [x["type"] for x in steps], [x["type"] for x in normal.get("normalizers", [normal])] if normal else []
+    bad = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    bad += [k for x in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized") if x.get(k)]
+    bad += [k for x in steps for k in ("add_prefix_space",) if x.get(k)]
+    if kinds not in ((["ByteLevel"], []), (["Split", "ByteLevel"], ["NFC", "Replace", "Lowercase"])):
+        bad.append(f"steps {kinds}")
+    if bad:
+        raise ValueError(f"the tokenizer file has unsupported settings: {', '.join(bad)}")
+
+
 class BpeCodec:
-    """A vocabulary with its merges, for byte-level BPE files with or without word-end marks."""
+    """A vocabulary with its merges, for byte-level BPE files with or without word-end marks. Other settings are an error."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _check(spec)
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
         self.chars = byte_chars()
@@ -170,7 +185,7 @@ class BpeCodec:
         counts = np.zeros(len(docs), np.int64)
         for i, text in enumerate(docs):
             before = len(found)
-            if self.special_re is not None and "<" in text and self.special_re.search(text):
+            if any(x in text for x in self.special):
                 at = 0
                 for m in self.special_re.finditer(text):
                     found.extend(map(look, split(text[at : m.start()])))
@@ -242,16 +257,23 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encode_documents(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids) of every row: the ids of its whole text."""
+def _decoded(bpe: BpeCodec, lists: pa.ListArray) -> pa.Array:
+    """The text of every list of ids, '' for null."""
+    flat, bounds = lists.flatten().to_numpy(), offsets(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    return pa.array([bpe.decode(flat[s:e].tolist()) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.string())
+
+
+def encode_documents(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """(key, ids[, decoded]) of every row: the ids of its whole text, and with `decoded` what those ids decode to, in one pass."""
     rows = df.select(F.col(key), F.col(text).alias("text"))
-    schema = StructType([rows.schema[0], StructField("ids", ArrayType(IntegerType()))])
+    schema = StructType([rows.schema[0], StructField("ids", ArrayType(IntegerType())), *[StructField("decoded", StringType())] * decoded])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
         for b in slices(batches):
             ids, counts = bpe.encode(texts(b))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets(counts)), pa.array(ids))], names=[key, "ids"])
+            lists = pa.ListArray.from_arrays(pa.array(offsets(counts)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, *([_decoded(bpe, lists)] if decoded else [])], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -264,10 +286,7 @@ def decode_documents(df: DataFrame, path: str, key: str = "doc_id", ids: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
         for b in batches:
-            rows = b.column(1)
-            flat, bounds = rows.flatten().to_numpy(), offsets(pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False))
-            decoded = [bpe.decode(flat[s:e].tolist()) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(decoded, pa.string())], names=[key, "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns, _decoded(bpe, b.column(1))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -277,8 +296,7 @@ BYTE_BPE = "byte_bpe_50k.json"
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary(BYTE_BPE)
-    rows = decode_documents(encode_documents(table(spark, sf_dir, "documents"), path), path)
+    rows = encode_documents(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), decoded=True)
     return rows.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),

@@ -1,6 +1,7 @@
 """BPE, packing, URL filters, chat formatting, secrets."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -61,7 +62,22 @@ def test_bpe_query_on_edges(spark, tmp_path):
         ids = library.encode(text or "", add_special_tokens=False).ids
         expected.append((doc, len(ids), digest(",".join(map(str, ids))), digest(text or "")))
     assert Counter(map(tuple, got)) == Counter(expected)
-    assert bpe.encode_documents(edges(spark, "x", []), bpe.vocabulary(bpe.BYTE_BPE)).count() == 0
+    path = bpe.vocabulary(bpe.BYTE_BPE)
+    assert bpe.encode_documents(edges(spark, "x", []), path).count() == 0
+    apart = bpe.decode_documents(bpe.encode_documents(edges(spark, "x"), path), path)
+    assert Counter(map(str, apart.collect())) == Counter(map(str, bpe.encode_documents(edges(spark, "x"), path, decoded=True).collect()))
+    null = bpe.decode_documents(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), path)
+    assert null.first()["decoded"] == ""
+
+
+@pytest.mark.parametrize(("part", "change"), [("model", {"unk_token": "?"}), ("model", {"byte_fallback": True}), ("pre_tokenizer", {"add_prefix_space": True}), ("pre_tokenizer", {"type": "Metaspace"})])
+def test_files_with_other_settings_are_an_error(tmp_path, part, change):
+    with open(bpe.vocabulary(bpe.BYTE_BPE), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec[part].update(change)
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="unsupported"):
+        bpe.BpeCodec(str(tmp_path / "t.json"))
 
 
 # --- packing
