@@ -44,12 +44,17 @@ def save_template(config: DataFrame, template_path: Column, roi: Column, rotatio
     return out if rotation is None else out.withColumn("rotation", rotation)
 
 
-def master_packet(config: DataFrame, roster: DataFrame, group: str, project: str = "") -> DataFrame:
-    """One row: configuration with defaults, and the group's roster; no row where the group has no student."""
-    member = F.struct(F.col("student_id").alias("id"), F.col("student_name").alias("name"), F.col("is_present").alias("present"))
-    listed = roster.filter(F.col("group_name") == group).agg(F.array_sort(F.collect_list(member)).alias("roster")).filter(F.size("roster") > 0)
+def packet_rows(config: DataFrame, roster: DataFrame, group: str, project: str = "") -> DataFrame:
+    """A row for each student of the group: configuration with defaults, and the student's id, name and presence. Nothing is gathered."""
+    students = roster.filter(F.col("group_name") == group).select(F.col("student_id").alias("id"), F.col("student_name").alias("name"), F.col("is_present").alias("present"))
+    named = _with_defaults(config, project)
+    return students.crossJoin(F.broadcast(named)).select(*named.columns, F.lit(group).alias("group_name"), "id", "name", "present")
+
+
+def _with_defaults(config: DataFrame, project: str) -> DataFrame:
+    """One row at most: the configuration's fields, with defaults where it says nothing."""
     field = lambda c, kind, default: F.coalesce(F.col(c).cast(kind) if c in config.columns else F.lit(None).cast(kind), default)
-    named = config.limit(1).select(
+    return config.limit(1).select(
         field("project_name", "string", F.lit(project)).alias("exam_name"),
         field("mode", "string", F.lit(DEFAULT_MODE)).alias("exam_mode"),
         field("mcq_count", "int", F.lit(0)).alias("mcq_count"),
@@ -59,6 +64,16 @@ def master_packet(config: DataFrame, roster: DataFrame, group: str, project: str
         field("template_path", "string", F.lit("")).alias("template_path"),
         (F.col("roi_coordinates") if "roi_coordinates" in config.columns else F.lit(None).cast("struct<x:int,y:int,w:int,h:int>")).alias("roi_coordinates"),
     )
+
+
+def master_packet(config: DataFrame, roster: DataFrame, group: str, project: str = "") -> DataFrame:
+    """One row: configuration with defaults, and the group's roster; no row where the group has no student.
+
+    It is the document that one device loads, so a group has to fit a row; `packet_rows` has no such bound.
+    """
+    member = F.struct(F.col("student_id").alias("id"), F.col("student_name").alias("name"), F.col("is_present").alias("present"))
+    listed = roster.filter(F.col("group_name") == group).agg(F.array_sort(F.collect_list(member)).alias("roster")).filter(F.size("roster") > 0)
+    named = _with_defaults(config, project)
     return listed.crossJoin(F.broadcast(named)).select(*named.columns, F.lit(group).alias("group_name"), "roster")
 
 

@@ -65,15 +65,26 @@ def grade(submissions: DataFrame, registry: DataFrame) -> DataFrame:
     return joined.withColumn("verdict", verdict(F.col("_found"), F.col("_valid"), F.col("_first"), F.col("seq"))).withColumn("previous_score", F.col("_score")).drop("_found", "_valid", "_first", "_score")
 
 
-def numbered(df: DataFrame, order: str, name: str, width: int = 1_000_000) -> DataFrame:
+def _before(counts: DataFrame, levels: int, fan: int) -> DataFrame:
+    """(_bucket, _before): the rows of all earlier buckets, summed among `fan` neighbours, then among groups of neighbours."""
+    earlier = lambda among: F.coalesce(F.sum("_n").over(among.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if not levels:
+        return counts.select("_bucket", earlier(Window).alias("_before"))
+    up = counts.withColumn("_up", F.floor(F.col("_bucket") / fan))
+    groups = _before(up.groupBy(F.col("_up").alias("_bucket")).agg(F.sum("_n").alias("_n")), levels - 1, fan)
+    within = up.select("_bucket", "_up", earlier(Window.partitionBy("_up")).alias("_within"))
+    return within.join(groups.withColumnRenamed("_bucket", "_up"), "_up").select("_bucket", (F.col("_before") + F.col("_within")).alias("_before"))
+
+
+def numbered(df: DataFrame, order: str, name: str, width: int = 1_000_000, fan: int = 1_000_000) -> DataFrame:
     """`name`: 1, 2, ... without gaps in the order of a unique integer column.
 
-    Rows are numbered within buckets of `width` values; only one count of each bucket meets the others.
+    Rows are numbered within buckets of `width` values, buckets by their counts within groups of `fan` buckets, and
+    these within groups of theirs. So no task has more than `width` rows or `fan` counts, sparse values (hashes, time
+    stamps) included, down to the few groups of groups that 64 bits leave.
     """
     rows = df.withColumn("_bucket", F.floor(F.col(order) / width))
-    counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    first = counts.select("_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
+    first = _before(rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")), 2, fan)
     ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_bucket").orderBy(order)))
     return ranked.join(first, "_bucket").withColumn(name, (F.col("_before") + F.col("_rank")).cast("bigint")).drop("_bucket", "_before", "_rank")
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import not_blank, strip
 from ..sources.labels import label_path
+from .grading import numbered
 
 
 def named(rows: DataFrame, classes: DataFrame, class_id: str = "class_id") -> DataFrame:
@@ -18,13 +19,12 @@ def named(rows: DataFrame, classes: DataFrame, class_id: str = "class_id") -> Da
 def append_classes(classes: DataFrame, names: DataFrame) -> DataFrame:
     """The class list with new names at its end: blank ones and ones already there are ignored, names compare exactly.
 
-    `names` has (seq, name); of equal names the first counts.
+    `names` has (seq, name), seq unique; of equal names the first counts.
     """
     fresh = names.select("seq", strip(F.col("name")).alias("name")).filter(not_blank(F.col("name"))).groupBy("name").agg(F.min("seq").alias("seq"))
     fresh = fresh.join(classes.select("name"), "name", "left_anti")
     size = classes.agg(F.coalesce(F.max("class_id") + 1, F.lit(0)).alias("size"))
-    # a class list is short: it is numbered as a whole
-    added = fresh.withColumn("r", F.row_number().over(Window.orderBy("seq"))).crossJoin(F.broadcast(size))
+    added = numbered(fresh, "seq", "r").crossJoin(F.broadcast(size))
     return classes.select("class_id", "name").unionByName(added.select((F.col("size") + F.col("r") - 1).cast("int").alias("class_id"), "name"))
 
 

@@ -52,9 +52,8 @@ def blueprint_map(spark, sf_dir):
 def master_packet(spark, sf_dir):
     """The packet of one group, a row for each student on it."""
     config = spark.range(1).select(F.lit("Midterm").alias("project_name"), F.lit(40).alias("mcq_count"), F.lit(0.5).alias("mcq_points"), F.lit(True).alias("has_essays"), F.create_map(F.lit("Q1"), F.lit(2.0)).alias("essay_points_map"))
-    packet = blueprint.master_packet(config, fx.roster(spark, sf_dir), GROUP)
-    flat = packet.select("exam_name", "exam_mode", "mcq_count", "mcq_points", "has_essays", F.col("essay_points_map")["Q1"].alias("q1_points"), "template_path", "group_name", F.explode("roster").alias("s"))
-    return flat.select(*(c for c in flat.columns if c != "s"), "s.id", "s.name", "s.present")
+    packet = blueprint.packet_rows(config, fx.roster(spark, sf_dir), GROUP)
+    return packet.select("exam_name", "exam_mode", "mcq_count", "mcq_points", "has_essays", F.col("essay_points_map")["Q1"].alias("q1_points"), "template_path", "group_name", "id", "name", "present")
 
 
 QUERIES = {f.__name__: f for f in (roster_clean, roster_upsert_last_wins, group_counts, group_size, group_card_grid, attendance_export, import_metrics, blueprint_map, master_packet)}

@@ -14,7 +14,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_config(spark: SparkSession, path: str) -> DataFrame:
-    """The configuration document, a row; an error where the workspace has none."""
+    """The configuration document, a row; an error where the workspace has none. A replacement that was cut short is finished first."""
+    if not exists(spark, path) and exists(spark, f"{path}.staged/_SUCCESS"):
+        _move(spark, path)
     if not exists(spark, path):
         raise FileNotFoundError(f"no exam blueprint at {path}")
     return spark.read.schema(schema("config")).json(path, multiLine=True)
@@ -22,9 +24,13 @@ def read_config(spark: SparkSession, path: str) -> DataFrame:
 
 def replace(spark: SparkSession, rows: DataFrame, path: str) -> None:
     """Writes text rows to `path` by way of a staging folder, so that rows read from `path` are whole when it goes."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    staged, target = fs_path(f"{path}.staged"), fs_path(path)
     rows.write.mode("overwrite").text(f"{path}.staged")
+    _move(spark, path)
+
+
+def _move(spark: SparkSession, path: str) -> None:
+    """Puts the whole staging folder in the place of `path`."""
+    staged, target = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (f"{path}.staged", path))
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.delete(target, True)
     if not fs.rename(staged, target):

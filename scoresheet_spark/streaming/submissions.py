@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from pyspark.sql.types import StructType
 from ..operators.grading import complete, numbered, parse_payloads
 from ..sources.config import exists
 
+#: Answers of one pair that leave a task at once.
+PART = 10_000
 GRADED = "seq bigint, session_id string, student_id string, total_score double, verdict string, previous_score double"
 
 
@@ -44,25 +47,28 @@ def with_registry(submissions: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def _first_wins(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Verdicts of one pair's messages; the state is the score that counts."""
+    """Verdicts of one pair's messages; the state is the score that counts.
+
+    Of a micro-batch only the pair's numbers are held (18 bytes a message), and answers leave in parts of PART rows.
+    """
     score = state.get[0] if state.exists else None
-    rows = pd.concat(list(batches)).sort_values("seq")
-    out = []
-    for seq, session, student, total, found, valid in rows[["seq", "session_id", "student_id", "total_score", "found", "valid"]].itertuples(index=False):
-        if not found:
-            answer = ("id_not_found", None)
-        elif score is not None:
-            answer = ("duplicate_id", score)
-        elif not valid:
-            answer = ("invalid_payload", None)
-        else:
-            score, answer = float(total), ("success", None)
-        out.append((seq, session, student, total, *answer))
-    if score is not None and not state.exists:
-        state.update((score,))
-    frame = pd.DataFrame(out, columns=["seq", "session_id", "student_id", "total_score", "verdict", "previous_score"])
-    frame["previous_score"] = frame["previous_score"].astype(float)
-    yield frame
+    held = [(b["seq"].to_numpy(), b["total_score"].to_numpy(float), b["found"].to_numpy(bool), b["valid"].to_numpy(bool)) for b in batches]
+    seq, total, found, valid = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(seq, kind="stable")
+    seq, total, found, valid = seq[order], total[order], found[order], valid[order]
+    first = -1
+    if score is None:
+        counts = np.flatnonzero(found & valid)
+        first = int(counts[0]) if counts.size else len(seq)
+        if counts.size:
+            score = float(total[first])
+            state.update((score,))
+    at = np.arange(len(seq))
+    verdicts = np.select([~found, at > first, at == first], ["id_not_found", "duplicate_id", "success"], "invalid_payload")
+    previous = np.where(verdicts == "duplicate_id", np.nan if score is None else score, np.nan)
+    for i in range(0, len(seq), PART):
+        part = slice(i, i + PART)
+        yield pd.DataFrame({"seq": seq[part], "session_id": key[0], "student_id": key[1], "total_score": total[part], "verdict": verdicts[part].astype(object), "previous_score": previous[part]})
 
 
 def grade_stream(submissions: DataFrame, registry: DataFrame) -> DataFrame:

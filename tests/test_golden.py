@@ -2,6 +2,7 @@
 
 import io
 import json
+import os
 import socket
 import uuid
 import zipfile
@@ -96,6 +97,14 @@ def test_numbers_have_no_gaps_across_buckets(spark):
     assert by(df, "v", "ordinal", "total") == {1: (1, 5), 5: (2, 5), 12: (3, 5), 100: (4, 5), 999: (5, 5)}
 
 
+def test_sparse_values_are_numbered_at_every_level(spark):
+    values = [-(2**62), -7, -1, 0, 1, 9, 10, 2**40, 2**40 + 1, 2**62]
+    df = positions.ordinals(spark.createDataFrame([(v,) for v in reversed(values)], "v long"), "v", width=10)
+    assert by(df, "v", "ordinal") == {v: i + 1 for i, v in enumerate(values)}
+    small = grading.numbered(spark.createDataFrame([(v,) for v in range(0, 400, 3)], "v long"), "v", "n", width=4, fan=3)
+    assert by(small, "v", "n") == {v: i + 1 for i, v in enumerate(range(0, 400, 3))}
+
+
 def test_stream_gives_the_verdicts_of_the_batch(spark, tmp_path):
     payloads = [{**PAYLOAD, "student_id": str(i % 4), "session_id": "st"[i % 2], "mcq_score": None if i < 3 else i, "total_score": i} for i in range(40)]
     rows = [(i, json.dumps(p)) for i, p in enumerate(payloads)]
@@ -321,6 +330,8 @@ def test_config_files_are_replaced_and_merged(spark, tmp_path):
     config.write_config(blueprint.save_template(config.read_config(spark, path), F.lit("t.jpg"), roi), path)
     saved = config.read_config(spark, path)
     assert (saved.first()["mcq_count"], saved.first()["template_path"]) == (5, "t.jpg")
+    os.rename(path, f"{path}.staged")  # as if a replacement had stopped half-way
+    assert config.read_config(spark, path).first()["template_path"] == "t.jpg"
     assert blueprint.save_blueprint(saved, {"mcq_points": F.lit(0.5)}).first()["template_path"] is None
     assert blueprint.save_blueprint(saved, {"mcq_points": F.lit(0.5)}, "merge").first()["template_path"] == "t.jpg"
 
@@ -332,6 +343,7 @@ def test_packet(spark, tmp_path):
     said = json.loads(blueprint.packet_json(packet).first()[0])
     assert (said["exam_name"], said["exam_mode"], said["roster"]) == ("fallback", "Quiz Mode", [{"id": "1", "name": "A", "present": 1}])
     assert blueprint.master_packet(empty, students, "none").count() == 0
+    assert by(blueprint.packet_rows(empty, students, "H", "p"), "id", "exam_name", "name", "present") == {"2": ("p", "B", 0)}
     config.write_packet(packet, str(tmp_path / "packet"))
     assert spark.read.text(str(tmp_path / "packet")).count() == 1
 
