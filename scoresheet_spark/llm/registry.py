@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, divergence, langid, neardup, packing, quality, secrets, substring, token_files, topk, url_filter
+from . import alignment, bpe, chat, divergence, langid, neardup, packing, quality, secrets, substring, token_files, topk, url_filter
 from .common import bounded
 
-MODULES = (bpe, packing, url_filter, neardup, secrets, quality, chat, langid, topk, substring, token_files, divergence)
+MODULES = (bpe, packing, url_filter, neardup, secrets, quality, chat, langid, topk, substring, token_files, alignment, divergence)
 
 
 def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
