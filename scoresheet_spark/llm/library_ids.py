@@ -13,6 +13,7 @@ import os
 import re
 from collections.abc import Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import regex
@@ -21,9 +22,12 @@ from .bpe import byte_chars
 from .common import ragged
 
 #: Words, and characters of them, that a worker remembers; beyond, the table starts anew.
-MAX_WORDS, MAX_CHARS = 250_000, 16_000_000
-#: The words of byte-level tokenizers, of texts in ASCII and of all; fixed values.
+MAX_WORDS, MAX_CHARS = 400_000, 16_000_000
+#: The words of byte-level tokenizers, of texts in ASCII, in Latin letters up to U+02AF, and of all; fixed values.
 _ASCII = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII).findall
+_LETTERS, _NUMBERS, _BLANK = r"A-Za-z\xAA\xB5\xBA\xC0-\xD6\xD8-\xF6\xF8-\u02AF", r"0-9\xB2\xB3\xB9\xBC-\xBE", r" \t\n\v\f\r\x85\xA0"
+_LATIN = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_BLANK}{_LETTERS}{_NUMBERS}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+").findall
+_BEYOND = re.compile(r"[^\x00-\u02AF]").search
 _WORDS = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
 
 
@@ -45,6 +49,7 @@ class LibraryIds:
         plain_words = all(x["special"] for x in spec["added_tokens"])
         self.by_words = not spec["normalizer"] and pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre.get("use_regex", True) and spec["model"]["type"] == "BPE" and plain_words
         self.chars = {b: c for b, c in enumerate(byte_chars()) if chr(b) != c}
+        self.space = self.chars[32]
         self.size = self.lib.get_vocab_size()
         self.model = self.lib.model
         self._forget()
@@ -54,19 +59,29 @@ class LibraryIds:
         self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _ids(self, entry: str | tuple[str]) -> list[int]:
+        """Ids of a word, or of a text in a tuple."""
         if isinstance(entry, tuple):
             return self.lib.encode(entry[0], add_special_tokens=False).ids
         plain = entry.isascii() and entry.isprintable()
-        return [x.id for x in self.model.tokenize(entry.replace(" ", self.chars[32]) if plain else entry.encode().decode("latin-1").translate(self.chars))]
+        return [x.id for x in self.model.tokenize(entry.replace(" ", self.space) if plain else entry.encode().decode("latin-1").translate(self.chars))]
 
     def _parts(self, text: str) -> list:
         """The words of a text; the text itself, in a tuple, where the library takes it whole."""
         if not self.by_words or any(x in text for x in self.special):
             return [(text,)] if text else []
-        return _ASCII(text) if text.isascii() else _WORDS(text)
+        if text.isascii():
+            return _ASCII(text)
+        return _WORDS(text) if _BEYOND(text) else _LATIN(text)
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and how many each has."""
+        gc.disable()  # many small lists, none of them in a cycle
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         known = self.known
         found: list[int] = []
         counts = np.zeros(len(texts), np.int64)
@@ -79,7 +94,7 @@ class LibraryIds:
             sizes = np.fromiter(map(len, lists), np.int64, len(lists))
             self.starts = np.r_[self.starts, self.flat.size + np.cumsum(sizes) - sizes]
             self.lengths = np.r_[self.lengths, sizes]
-            self.flat = np.r_[self.flat, np.fromiter((x for ids in lists for x in ids), np.int32, int(sizes.sum()))]
+            self.flat = np.r_[self.flat, np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))]
             known.chars += sum(len(x[0] if isinstance(x, tuple) else x) for x in known.new)
             known.new = []
         words = np.array(found, np.int64)
