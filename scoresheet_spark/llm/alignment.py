@@ -1,9 +1,9 @@
 """Alignment of two tokenizers' tokens by the bytes they stand for.
 
 Both tokenize the same bytes. In each Arrow partition DuckDB holds the tokens of a slice of documents as intervals of
-bytes. As-of joins find the first and the last A token that each B token overlaps; tokens that end together are the
-overlaps whose A token is the last one and ends at the B token's end. Such ends cut a document into groups, which window
-sums number. Overlaps in full are a range join between those bounds.
+bytes. An as-of join finds the last A token that each B token overlaps; where that ends at the B token's end, the two end
+together. Such ends cut a document into groups, which window sums number. Overlaps in full are a range join from the first A
+token that a B token overlaps, which another as-of join finds, to the last.
 
 A partition adds up how often an id of A is linked with an id of B, and hands on partial counts; Spark merges them. Each document
 keeps its distinct links with their numbers, so that scores come from a join with the merged counts, without tokenizing again.
@@ -27,7 +27,7 @@ from pyspark.sql.types import StructField, StructType
 from .bpe import byte_chars, vocabulary
 from .common import cut, offsets, slices, small, texts
 from .common import table as read_table
-from .library_ids import library_ids
+from .library_ids import PieceIds, library_ids
 
 #: Distinct pairs of ids that a partition holds before it hands its counts on; pairs in a row of partial counts.
 MAX_PAIRS, ROW_PAIRS = 200_000, 20_000
@@ -38,14 +38,14 @@ LINKS = ("end", "overlap")
 BLOCK_TOKENS = 100_000
 
 _SPANS = """CREATE OR REPLACE TEMP TABLE spans AS
-SELECT b.pos, b.doc, b.id, b.e, lo.pos AS lo, hi.pos AS hi, hi.id AS hi_id, hi.e = b.e AS closed
-FROM b ASOF JOIN a lo ON b.s >= lo.s ASOF JOIN a hi ON b.e - 1 >= hi.s"""
-_ENDS = "CREATE OR REPLACE TEMP TABLE links AS SELECT doc, hi_id AS a_id, id AS b_id FROM spans WHERE closed"
-_OVERLAPS = "CREATE OR REPLACE TEMP TABLE links AS SELECT s.doc, a.id AS a_id, s.id AS b_id FROM spans s JOIN a ON a.pos >= s.lo AND a.pos <= s.hi"
-#: The group of each token: closed ends before it, of B tokens by themselves, of A tokens by the B tokens that they close with.
-_GROUPS_B = "SELECT coalesce(sum(closed::INT) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS g FROM spans ORDER BY pos"
-_GROUPS_A = """SELECT coalesce(sum((c.hi IS NOT NULL)::INT) OVER (ORDER BY a.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS g
-FROM a LEFT JOIN (SELECT hi FROM spans WHERE closed) c ON a.pos = c.hi ORDER BY a.pos"""
+SELECT b.pos, b.doc, b.id, b.s, hi.pos AS hi, hi.id AS hi_id, (hi.e = b.e)::INT AS closed FROM b ASOF JOIN a hi ON b.e - 1 >= hi.s"""
+_ENDS = "CREATE OR REPLACE TEMP TABLE links AS SELECT doc, hi_id AS a_id, id AS b_id FROM spans WHERE closed = 1"
+_OVERLAPS = "CREATE OR REPLACE TEMP TABLE links AS SELECT s.doc, a.id AS a_id, s.id AS b_id FROM (SELECT b.*, lo.pos AS lo FROM spans b ASOF JOIN a lo ON b.s >= lo.s) s JOIN a ON a.pos >= s.lo AND a.pos <= s.hi"
+#: The closed ends up to each token, of B tokens by themselves, of A tokens by the B tokens that they close with. Sums, as
+#: DuckDB counts a filtered window frame by frame.
+_GROUPS_B = "SELECT pos, closed, sum(closed) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) AS g FROM spans"
+_GROUPS_A = """SELECT pos, closed, sum(closed) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) AS g
+FROM (SELECT a.pos, CASE WHEN c.hi IS NULL THEN 0 ELSE 1 END AS closed FROM a LEFT JOIN (SELECT hi FROM spans WHERE closed = 1) c ON a.pos = c.hi)"""
 _PAIRS = "SELECT doc, a_id, b_id, count(*)::BIGINT AS n FROM links GROUP BY ALL ORDER BY doc, a_id, b_id"
 _ADD = "CREATE OR REPLACE TEMP TABLE sums AS SELECT a_id, b_id, sum(n)::BIGINT AS n FROM (FROM sums UNION ALL SELECT a_id, b_id, count(*) FROM links GROUP BY ALL) GROUP BY ALL"
 
@@ -54,33 +54,23 @@ class _Side:
     """A tokenizer's ids and the bytes of each id."""
 
     def __init__(self, path: str) -> None:
-        self.pieces = path.endswith(".model")
+        self.ids = library_ids(path, plain=True)
+        lib = self.ids.lib
+        self.pieces = isinstance(self.ids, PieceIds)
         if self.pieces:
-            import sentencepiece
-
-            self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.bytes = [self._piece(i) for i in range(self.lib.get_piece_size())]
+            self.bytes = [bytes([int(p[3:5], 16)]) if lib.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(map(lib.id_to_piece, range(self.ids.size)))]
         else:
-            self.lib = library_ids(path, plain=True)
             back = {c: b for b, c in enumerate(byte_chars())}
-            vocab = self.lib.lib.get_vocab()
+            vocab = lib.get_vocab()
             self.bytes = [b""] * (max(vocab.values()) + 1)
             for token, i in vocab.items():
                 self.bytes[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
         self.sizes = np.array([len(x) for x in self.bytes], np.int64)
         self.text = {sep: [f"{i}{sep}" for i in range(len(self.bytes))] for sep in (",", "|", ";")}
 
-    def _piece(self, i: int) -> bytes:
-        piece = self.lib.id_to_piece(i)
-        return bytes([int(piece[3:5], 16)]) if self.lib.is_byte(i) else piece.replace("▁", " ").encode()
-
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a space and each text, in one array, and how many each has; none of empty texts. Files of pieces add the space themselves."""
-        if not self.pieces:
-            return self.lib.encode([f" {t}" if t else "" for t in texts])
-        lists = self.lib.encode(texts, num_threads=1)
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        return np.fromiter((x for ids in lists for x in ids), np.int32, int(sizes.sum())), sizes
+        return self.ids.encode(texts if self.pieces else [f" {t}" if t else "" for t in texts])
 
 
 @lru_cache(maxsize=4)
@@ -93,7 +83,9 @@ def _side(path: str) -> _Side:
 def _tokens(side: _Side, ids: np.ndarray, counts: np.ndarray) -> pa.Table:
     """(pos, doc, id, s, e): tokens of all documents, one after the other, and their bytes as intervals."""
     ends = np.cumsum(side.sizes[ids])
-    return pa.table({"pos": np.arange(len(ids)), "doc": np.repeat(np.arange(len(counts)), counts), "id": ids, "s": ends - side.sizes[ids], "e": ends})
+    whole = {"pos": np.arange(len(ids)), "doc": np.repeat(np.arange(len(counts)), counts), "id": ids, "s": ends - side.sizes[ids], "e": ends}
+    kind = np.int32 if not len(ends) or ends[-1] < 2**31 else np.int64
+    return pa.table({k: x.astype(kind) for k, x in whole.items()})
 
 
 def _blocks(a_ends: np.ndarray, b_ends: np.ndarray, b_counts: np.ndarray) -> Iterator[tuple[slice, slice]]:
@@ -114,7 +106,10 @@ def _blocks(a_ends: np.ndarray, b_ends: np.ndarray, b_counts: np.ndarray) -> Ite
 
 
 def _kept(side: _Side, ids: np.ndarray, counts: np.ndarray, wanted: list[bytes]) -> np.ndarray:
-    """Which documents' tokens join to the bytes that they should."""
+    """Which documents' tokens join to the bytes that they should. Byte-level files without a normalizer lose none, so there lengths tell."""
+    if not side.pieces and side.ids.by_words:
+        upto = np.r_[0, np.cumsum(side.sizes[ids])][np.r_[0, np.cumsum(counts)]]
+        return np.diff(upto) == [len(w) for w in wanted]
     look, ends = side.bytes.__getitem__, np.r_[0, np.cumsum(counts)].tolist()
     flat = ids.tolist()
     return np.array([b"".join(map(look, flat[s:e])) == w for s, e, w in zip(ends[:-1], ends[1:], wanted, strict=True)], bool)
@@ -182,7 +177,9 @@ def align_documents(df: DataFrame, path_a: str, path_b: str, key: str = "doc_id"
                     con.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS FROM tokens")
                 con.execute(_SPANS)
                 con.execute(_ENDS if link == "end" else _OVERLAPS)
-                ga[in_a], gb[in_b] = (con.execute(q).fetchnumpy()["g"] + before for q in (_GROUPS_A, _GROUPS_B))
+                for query, out in ((_GROUPS_A, ga), (_GROUPS_B, gb)):
+                    numbered = con.execute(query).fetchnumpy()
+                    out[numbered["pos"]] = numbered["g"].astype(np.int64) - numbered["closed"] + before
                 before = int(gb[in_b.stop - 1]) + 1
                 found.append(con.execute(_PAIRS).fetchnumpy())
                 con.execute(_ADD)

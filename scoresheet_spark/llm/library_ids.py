@@ -1,4 +1,4 @@
-"""Ids by the tokenizers library, remembered by words.
+"""Ids by the tokenizers and sentencepiece libraries, remembered by words.
 
 A byte-level tokenizer cuts a text into words by a fixed pattern and gives each word its ids by itself. So the
 library's model encodes each distinct word once for a worker; texts that hold special tokens, and files with other
@@ -28,10 +28,51 @@ _ASCII = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]
 _LETTERS, _NUMBERS, _BLANK = r"A-Za-z\xAA\xB5\xBA\xC0-\xD6\xD8-\xF6\xF8-\u02AF", r"0-9\xB2\xB3\xB9\xBC-\xBE", r" \t\n\v\f\r\x85\xA0"
 _LATIN = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_BLANK}{_LETTERS}{_NUMBERS}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+").findall
 _BEYOND = re.compile(r"[^\x00-\u02AF]").search
+_RUNS = re.compile(r" +[^ ]+").findall
 _WORDS = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
 
 
-class LibraryIds:
+class _Remembered:
+    """Ids of texts from those of their parts, which `_parts` cuts and `_lists` encodes."""
+
+    def _forget(self) -> None:
+        self.known = _Numbers()
+        self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and how many each has."""
+        gc.disable()  # many small lists, none of them in a cycle
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        known = self.known
+        found: list[int] = []
+        counts = np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            before = len(found)
+            found.extend(map(known.__getitem__, self._parts(text)))
+            counts[i] = len(found) - before
+        if known.new:
+            lists = self._lists(known.new)
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            self.starts = np.r_[self.starts, self.flat.size + np.cumsum(sizes) - sizes]
+            self.lengths = np.r_[self.lengths, sizes]
+            self.flat = np.r_[self.flat, np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))]
+            known.chars += sum(len(x[0] if isinstance(x, tuple) else x) for x in known.new)
+            known.new = []
+        words = np.array(found, np.int64)
+        lengths = self.lengths[words]
+        ids = self.flat[ragged(self.starts[words], lengths)]
+        sizes = np.diff(np.r_[0, np.r_[0, np.cumsum(lengths)][np.cumsum(counts)]])
+        if len(known) > MAX_WORDS or known.chars > MAX_CHARS:
+            self._forget()
+        return ids, sizes
+
+
+class LibraryIds(_Remembered):
     """A tokenizer file. `plain`: the strings of special tokens are ordinary text."""
 
     def __init__(self, path: str, plain: bool = False) -> None:
@@ -54,9 +95,8 @@ class LibraryIds:
         self.model = self.lib.model
         self._forget()
 
-    def _forget(self) -> None:
-        self.known = _Numbers()
-        self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    def _lists(self, new: list) -> list[list[int]]:
+        return list(map(self._ids, new))
 
     def _ids(self, entry: str | tuple[str]) -> list[int]:
         """Ids of a word, or of a text in a tuple."""
@@ -73,37 +113,30 @@ class LibraryIds:
             return _ASCII(text)
         return _WORDS(text) if _BEYOND(text) else _LATIN(text)
 
-    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in one array, and how many each has."""
-        gc.disable()  # many small lists, none of them in a cycle
-        try:
-            return self._encode(texts)
-        finally:
-            gc.enable()
 
-    def _encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        known = self.known
-        found: list[int] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            before = len(found)
-            found.extend(map(known.__getitem__, self._parts(text)))
-            counts[i] = len(found) - before
-        if known.new:
-            lists = list(map(self._ids, known.new))
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            self.starts = np.r_[self.starts, self.flat.size + np.cumsum(sizes) - sizes]
-            self.lengths = np.r_[self.lengths, sizes]
-            self.flat = np.r_[self.flat, np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))]
-            known.chars += sum(len(x[0] if isinstance(x, tuple) else x) for x in known.new)
-            known.new = []
-        words = np.array(found, np.int64)
-        lengths = self.lengths[words]
-        ids = self.flat[ragged(self.starts[words], lengths)]
-        sizes = np.diff(np.r_[0, np.r_[0, np.cumsum(lengths)][np.cumsum(counts)]])
-        if len(known) > MAX_WORDS or known.chars > MAX_CHARS:
-            self._forget()
-        return ids, sizes
+class PieceIds(_Remembered):
+    """A file of pieces (sentencepiece), which puts a space before each text.
+
+    Where no piece holds a space behind another character, none crosses from a word to the next space. Then runs from
+    spaces to spaces are encoded once each; texts that end in a space, and files that change texts, go through whole.
+    """
+
+    def __init__(self, path: str) -> None:
+        import sentencepiece
+
+        self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.size = self.lib.get_piece_size()
+        probe = " \u2460\ufb01  A\u030a x"
+        self.by_runs = not any(re.search("[^\u2581]\u2581", self.lib.id_to_piece(i)) for i in range(self.size)) and self.lib.decode(self.lib.encode(probe)) == probe
+        self._forget()
+
+    def _parts(self, text: str) -> list:
+        if not self.by_runs or text.endswith(" ") or "\u2581" in text:
+            return [(text,)] if text else []
+        return _RUNS(f" {text}") if text else []
+
+    def _lists(self, new: list) -> list[list[int]]:
+        return self.lib.encode([x[0] if isinstance(x, tuple) else x[1:] for x in new], num_threads=1)
 
 
 class _Numbers(dict):
@@ -120,8 +153,8 @@ class _Numbers(dict):
 
 
 @lru_cache(maxsize=4)
-def library_ids(path: str, plain: bool = False) -> LibraryIds:
+def library_ids(path: str, plain: bool = False) -> LibraryIds | PieceIds:
     """The tokenizer of a file, made once per process."""
-    made = LibraryIds(path, plain)
+    made = PieceIds(path) if path.endswith(".model") else LibraryIds(path, plain)
     gc.freeze()  # the tables live as long as the worker
     return made
