@@ -58,7 +58,7 @@ class _Side:
         lib = self.ids.lib
         self.pieces = isinstance(self.ids, PieceIds)
         if self.pieces:
-            self.bytes = [bytes([int(p[3:5], 16)]) if lib.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(map(lib.id_to_piece, range(self.ids.size)))]
+            self.bytes = self.ids.bytes
         else:
             back = {c: b for b, c in enumerate(byte_chars())}
             vocab = lib.get_vocab()
@@ -105,27 +105,30 @@ def _blocks(a_ends: np.ndarray, b_ends: np.ndarray, b_counts: np.ndarray) -> Ite
         start, at = a_stop, stop
 
 
-def _kept(side: _Side, ids: np.ndarray, counts: np.ndarray, wanted: list[bytes]) -> np.ndarray:
-    """Which documents' tokens join to the bytes that they should. Byte-level files without a normalizer lose none, so there lengths tell."""
-    if not side.pieces and side.ids.by_words:
-        upto = np.r_[0, np.cumsum(side.sizes[ids])][np.r_[0, np.cumsum(counts)]]
-        return np.diff(upto) == [len(w) for w in wanted]
-    look, ends = side.bytes.__getitem__, np.r_[0, np.cumsum(counts)].tolist()
-    flat = ids.tolist()
-    return np.array([b"".join(map(look, flat[s:e])) == w for s, e, w in zip(ends[:-1], ends[1:], wanted, strict=True)], bool)
+def _kept(side: _Side, texts: list[str], ids: np.ndarray, counts: np.ndarray, wanted: list[bytes]) -> np.ndarray:
+    """Which documents' tokens join to the bytes that they should. Byte-level files without a normalizer lose none, and runs of pieces were compared as they were learned."""
+    ends = np.r_[0, np.cumsum(counts)]
+    fits = np.diff(np.r_[0, np.cumsum(side.sizes[ids])][ends]) == [len(w) for w in wanted]
+    told = side.ids.by_words if not side.pieces else not side.ids.lossy
+    for i in np.flatnonzero(fits).tolist():
+        if not told or side.pieces and side.ids.whole(texts[i]):
+            fits[i] = b"".join(map(side.bytes.__getitem__, ids[ends[i] : ends[i + 1]].tolist())) == wanted[i]
+    return fits
 
 
 def _listed(a: _Side, b: _Side, ta: pa.Table, tb: pa.Table, ga: np.ndarray, gb: np.ndarray, docs: int) -> list[str]:
     """`a1,a2|b1;a3|b2,b3` of every document: ids by group, A's before B's."""
+    if not len(ga):
+        return [""] * docs
     last = lambda g: np.append(g[1:] != g[:-1], True)
-    group, side = np.r_[ga, gb], np.repeat([0, 1], [len(ga), len(gb)])
-    order = np.lexsort((side, group))  # stable: tokens of a side stay in their order
-    ids, ends = np.r_[ta["id"].to_numpy(), tb["id"].to_numpy()][order], np.r_[last(ga), last(gb)][order]
-    side = side[order]
+    in_a, in_b = np.bincount(ga), np.bincount(gb)
+    code = np.empty(len(ga) + len(gb), np.int64)
+    # a token stands behind those of its side, A's behind B's of earlier groups, B's behind A's of their own as well
+    na, nb = len(a.bytes), len(b.bytes)
+    code[np.arange(len(ga)) + (np.cumsum(in_b) - in_b)[ga]] = ta["id"].to_numpy() + last(ga) * na
+    code[np.arange(len(gb)) + np.cumsum(in_a)[gb]] = tb["id"].to_numpy() + (2 * na + last(gb) * nb)
     # one list of texts: A's with a comma, A's with a bar, B's with a comma, B's with a semicolon
     words = a.text[","] + a.text["|"] + b.text[","] + b.text[";"]
-    na, nb = len(a.bytes), len(b.bytes)
-    code = ids + np.where(side == 0, ends * na, 2 * na + ends * nb)
     sizes = np.bincount(ta["doc"].to_numpy(), minlength=docs) + np.bincount(tb["doc"].to_numpy(), minlength=docs)
     stops = np.r_[0, np.cumsum(sizes)].tolist()
     said = list(map(words.__getitem__, code.tolist()))
@@ -166,7 +169,7 @@ def align_documents(df: DataFrame, path_a: str, path_b: str, key: str = "doc_id"
             said = texts(batch)
             wanted = [f" {t}".encode() if t else b"" for t in said]
             ids = [side.encode(said) for side in (a, b)]
-            fits = np.logical_and.reduce([_kept(side, *x, wanted) for side, x in zip((a, b), ids, strict=True)])
+            fits = np.logical_and.reduce([_kept(side, said, *x, wanted) for side, x in zip((a, b), ids, strict=True)])
             (ia, ca), (ib, cb) = ((i[np.repeat(fits, c)], c * fits) for i, c in ids)
             ta, tb = _tokens(a, ia, ca), _tokens(b, ib, cb)
             ga, gb = np.zeros(len(ia), np.int64), np.zeros(len(ib), np.int64)

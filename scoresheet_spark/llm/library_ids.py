@@ -22,7 +22,7 @@ from .bpe import byte_chars
 from .common import ragged
 
 #: Words, and characters of them, that a worker remembers; beyond, the table starts anew.
-MAX_WORDS, MAX_CHARS = 400_000, 16_000_000
+MAX_WORDS, MAX_CHARS = 300_000, 16_000_000
 #: The words of byte-level tokenizers, of texts in ASCII, in Latin letters up to U+02AF, and of all; fixed values.
 _ASCII = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII).findall
 _LETTERS, _NUMBERS, _BLANK = r"A-Za-z\xAA\xB5\xBA\xC0-\xD6\xD8-\xF6\xF8-\u02AF", r"0-9\xB2\xB3\xB9\xBC-\xBE", r" \t\n\v\f\r\x85\xA0"
@@ -126,17 +126,25 @@ class PieceIds(_Remembered):
 
         self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = self.lib.get_piece_size()
+        self.bytes = [bytes([int(p[3:5], 16)]) if self.lib.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(map(self.lib.id_to_piece, range(self.size)))]
+        self.lossy = False  # whether some run was not given back byte by byte
         probe = " \u2460\ufb01  A\u030a x"
         self.by_runs = not any(re.search("[^\u2581]\u2581", self.lib.id_to_piece(i)) for i in range(self.size)) and self.lib.decode(self.lib.encode(probe)) == probe
         self._forget()
 
+    def whole(self, text: str) -> bool:
+        return not self.by_runs or text.endswith(" ") or "\u2581" in text
+
     def _parts(self, text: str) -> list:
-        if not self.by_runs or text.endswith(" ") or "\u2581" in text:
+        if self.whole(text):
             return [(text,)] if text else []
         return _RUNS(f" {text}") if text else []
 
     def _lists(self, new: list) -> list[list[int]]:
-        return self.lib.encode([x[0] if isinstance(x, tuple) else x[1:] for x in new], num_threads=1)
+        lists = self.lib.encode([x[0] if isinstance(x, tuple) else x[1:] for x in new], num_threads=1)
+        look = self.bytes.__getitem__
+        self.lossy |= any(not isinstance(x, tuple) and b"".join(map(look, ids)) != x.encode() for x, ids in zip(new, lists, strict=True))
+        return lists
 
 
 class _Numbers(dict):
