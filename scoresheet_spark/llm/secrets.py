@@ -50,16 +50,26 @@ ALLOWED = (
 )
 BLOCK = 256
 #: Characters of a candidate whose windows are counted in one go.
-PIECE = 64
+PIECE = 256
+
+
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is computed once, however often the body reads it: the optimizer would else put it into lambdas, for each element anew."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _starts(sizes: Column) -> Column:
     """Sum of all sizes before each element: block sums first, then within a block."""
-    part = lambda c, n: F.aggregate(F.slice(sizes, c * BLOCK + 1, n), F.lit(0), lambda a, x: a + x)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(sizes) / BLOCK).cast("int")), lambda c: part(c, F.lit(BLOCK)))
-    before = F.aggregate(blocks, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    at = F.sequence(F.lit(0), F.size(sizes) - 1)
-    return F.when(F.size(sizes) > 0, F.transform(at, lambda i: F.get(before, F.floor(i / BLOCK).cast("int")) + part(F.floor(i / BLOCK).cast("int"), (i % BLOCK).cast("int")))).otherwise(F.array().cast("array<int>"))
+
+    def starts(sizes: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(sizes) / BLOCK).cast("int")), lambda k: F.slice(sizes, k * BLOCK + 1, BLOCK))
+        add = lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))
+        total = lambda of: F.aggregate(of, F.lit(0), lambda a, x: a + x)
+        before = F.aggregate(F.transform(blocks, total), F.array(F.lit(0)), add)
+        within = lambda of, first: F.slice(F.aggregate(of, F.array(first), add), 1, F.size(of))
+        return F.flatten(F.zip_with(blocks, F.slice(before, 1, F.size(blocks)), within))
+
+    return F.when(F.size(sizes) > 0, _let(sizes, starts)).otherwise(F.array().cast("array<int>"))
 
 
 def _matches(df: DataFrame, pattern: str, group: int, name: str) -> DataFrame:
@@ -79,30 +89,35 @@ def _matches(df: DataFrame, pattern: str, group: int, name: str) -> DataFrame:
 
 
 def _entropy(hit: Column) -> Column:
-    """The greatest Shannon entropy, in bits, of a window over the string: in pieces that overlap by all but one of a window's characters, as a step costs a piece's length."""
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(hit) - WINDOW), F.lit(PIECE - WINDOW + 1))
-    return F.array_max(F.transform(starts, lambda i: _piece_entropy(F.substring(hit, i + 1, F.lit(PIECE)))))
+    """The greatest Shannon entropy, in bits, of a window over the string, which holds WINDOW characters at least: in pieces that overlap by all but one of a window's characters."""
+    step = PIECE - WINDOW + 1
+    pieces = F.regexp_extract_all(hit, F.lit(rf"(?=(.{{1,{PIECE}}})).{{1,{step}}}"), F.lit(1))
+    least = F.array_min(F.transform(F.filter(pieces, lambda p: F.length(p) >= WINDOW), _least_weight))
+    return F.lit(math.log2(WINDOW)) - least / WINDOW
+
 
+def _least_weight(piece: Column) -> Column:
+    """The least sum of c * log2(c), over the counts c of a window's characters, of all windows of a piece.
 
-def _piece_entropy(hit: Column) -> Column:
-    weight = F.array(*(F.lit(0.0 if c < 2 else c * math.log2(c)) for c in range(WINDOW + 2)))
-    w = lambda c: F.element_at(weight, c + 1)
-    codes = F.transform(F.split(hit, ""), lambda ch: F.instr(F.lit(ALPHABET), ch))
-    size = F.least(F.length(hit), F.lit(WINDOW))
+    Counts are a string with a character for each of the alphabet, so that a step changes one of them and the sum by one
+    look-up. Codes come in as positive numbers and go out as negative ones; 0 stands behind the first whole window.
+    """
+    weigh = lambda c: c * math.log2(c) if c > 1 else 0.0
+    up = F.array(*(F.lit(weigh(c + 1) - weigh(c)) for c in range(WINDOW + 2)))
+    down = F.array(*(F.lit(weigh(c - 1) - weigh(c)) for c in range(WINDOW + 2)))
+    codes = F.transform(F.split(piece, ""), lambda ch: F.instr(F.lit(ALPHABET), ch))
+    later = F.flatten(F.zip_with(F.slice(codes, WINDOW + 1, PIECE), F.slice(codes, 1, F.length(piece) - WINDOW), lambda i, o: F.array(i, -o)))
+    events = F.concat(F.slice(codes, 1, WINDOW), F.array(F.lit(0)), later)
 
-    def step(a: Column, i: Column) -> Column:
-        into = F.get(codes, i)
-        out = F.when(i >= size, F.get(codes, i - size)).otherwise(F.lit(0))
-        counted = F.element_at(a["counts"], into)
-        gone = F.when(out > 0, F.element_at(a["counts"], F.greatest(out, F.lit(1)))).otherwise(F.lit(0))
-        change = F.when(into == out, F.lit(0.0)).otherwise(w(counted + 1) - w(counted) + F.when(out > 0, w(F.greatest(gone - 1, F.lit(0))) - w(gone)).otherwise(F.lit(0.0)))
-        counts = F.transform(a["counts"], lambda v, k: v + F.when(k + 1 == into, 1).otherwise(0) - F.when(k + 1 == out, 1).otherwise(0))
-        total = a["sum"] + change
-        best = F.when(i >= size - 1, F.greatest(a["best"], F.log2(size.cast("double")) - total / size)).otherwise(a["best"])
-        return F.struct(counts.alias("counts"), total.alias("sum"), best.alias("best"))
+    def step(a: Column, e: Column) -> Column:
+        place = F.abs(e)
+        count = F.ascii(F.substring(a["counts"], place, F.lit(1))) - ord("0")
+        counts = F.when(e == 0, a["counts"]).otherwise(F.overlay(a["counts"], F.char(count + F.when(e > 0, ord("0") + 1).otherwise(ord("0") - 1)), place, F.lit(1)))
+        total = a["sum"] + F.when(e > 0, F.get(up, count)).when(e < 0, F.get(down, count)).otherwise(0.0)
+        return F.struct(counts.alias("counts"), total.alias("sum"), F.when(e <= 0, F.least(a["least"], total)).otherwise(a["least"]).alias("least"))
 
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(0), F.length(hit) - 1), start, step, lambda a: a["best"])
+    start = F.struct(F.lit("0" * len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(math.inf).alias("least"))
+    return F.aggregate(events, start, step, lambda a: a["least"])
 
 
 def find_secrets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -116,8 +131,15 @@ def find_secrets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     rows = _matches(rows, CANDIDATE, 0, "_found")
     base = F.concat(*(F.col(kind) for kind, *_ in BASE))
     rows = rows.withColumn("_base", F.array_sort(F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end")))))
+    # base spans in blocks with their reach, so that a candidate meets those of its own neighbourhood
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size("_base") / BLOCK).cast("int")), lambda k: F.slice("_base", k * BLOCK + 1, BLOCK))
+    reach = F.transform(blocks, lambda b: F.struct(F.array_min(b["start"]).alias("start"), F.array_max(b["end"]).alias("end"), b.alias("of")))
+    rows = rows.withColumn("_reach", F.when((F.size("_base") > 0) & (F.size("_found") > 0), reach).otherwise(F.array().cast("array<struct<start:int,end:int,of:array<struct<start:int,end:int>>>>")))
     hides = lambda c: lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])
-    rows = rows.withColumn("_found", F.flatten(F.transform("_found", lambda c: F.when(F.exists("_base", hides(c)), _rest(c, F.filter("_base", hides(c)))).otherwise(F.array(c)))))
+    near = lambda reach: lambda c: F.struct(c.alias("c"), F.flatten(F.transform(F.filter(reach, hides(c)), lambda r: F.filter(r["of"], hides(c)))).alias("by"))
+    hidden = _let(F.struct(F.col("_reach").alias("reach"), F.col("_found").alias("found")), lambda v: F.transform(v["found"], near(v["reach"])))
+    rows = rows.withColumn("_hidden", hidden)
+    rows = rows.withColumn("_found", F.flatten(F.transform("_hidden", lambda h: F.when(F.size(h["by"]) > 0, _rest(h["c"], h["by"])).otherwise(F.array(h["c"])))))
     allowed = lambda c: F.expr("false") if not ALLOWED else _any([c["hit"].rlike(p) for p in ALLOWED])
     rows = rows.withColumn("_found", F.filter("_found", lambda c: ~allowed(c)))
     rank = len(BASE)
@@ -127,7 +149,7 @@ def find_secrets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     rows = rows.withColumn("_judged", F.filter(judged, lambda x: x["bits"] >= F.when(x["rank"] == rank, CLASSES[0][2]).otherwise(CLASSES[1][2])))
     added = F.transform("_judged", lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")))
     rows = rows.withColumn("base_spans", F.array_sort(F.concat(*listed))).withColumn("spans", F.array_sort(F.concat("base_spans", added)))
-    return rows.drop("_found", "_base", "_judged")
+    return rows.drop("_found", "_base", "_reach", "_hidden", "_judged")
 
 
 def _rest(c: Column, spans: Column) -> Column:

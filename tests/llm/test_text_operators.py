@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -341,3 +342,17 @@ def test_redaction_keeps_everything_else(spark):
     assert (got[1].text, got[1].n_chars) == ("é [SECRET] x [SECRET]", 21)
     assert got[2].text is None and (got[3].text, got[3].n_chars, got[3].spans) == ("clean", 7, "k")
     assert secrets.redact(df.limit(0)).columns == df.columns
+
+
+def test_key_dense_texts_take_no_square(spark):
+    rng = random.Random(8)
+    key = lambda n: "".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(n))
+    dense = " ".join(f"{key(32)} password={key(12)}" for _ in range(1000))
+    rows = [(1, dense), (2, key(300_000)), (3, f"x={key(40)}" * 200)]
+    began = time.perf_counter()
+    got = {r[0]: r[1:] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", F.size("base_spans"), "spans").collect()}
+    assert time.perf_counter() - began < 60
+    assert got[1][0] == 1000 and len(got[1][1]) >= 1950
+    assert [(x["start"], x["end"]) for x in got[2][1]] == [(0, 300_000)]
+    starts = [m.start() for m in re.finditer("password=", dense)]
+    assert [x["start"] for x in got[1][1] if x["kind"] == "assign"] == starts
