@@ -89,11 +89,12 @@ def _matches(df: DataFrame, pattern: str, group: int, name: str) -> DataFrame:
 
 
 def _entropy(hit: Column) -> Column:
-    """The greatest Shannon entropy, in bits, of a window over the string, which holds WINDOW characters at least: in pieces that overlap by all but one of a window's characters."""
+    """The greatest Shannon entropy, in bits, of a window over the string, or of all of it where it is shorter: in pieces that overlap by all but one of a window's characters."""
     step = PIECE - WINDOW + 1
     pieces = F.regexp_extract_all(hit, F.lit(rf"(?=(.{{1,{PIECE}}})).{{1,{step}}}"), F.lit(1))
-    least = F.array_min(F.transform(F.filter(pieces, lambda p: F.length(p) >= WINDOW), _least_weight))
-    return F.lit(math.log2(WINDOW)) - least / WINDOW
+    size = F.least(F.length(hit), F.lit(WINDOW))
+    least = F.array_min(F.transform(F.filter(pieces, lambda p: F.length(p) >= size), _least_weight))
+    return F.log2(size.cast("double")) - least / size
 
 
 def _least_weight(piece: Column) -> Column:
@@ -106,7 +107,7 @@ def _least_weight(piece: Column) -> Column:
     up = F.array(*(F.lit(weigh(c + 1) - weigh(c)) for c in range(WINDOW + 2)))
     down = F.array(*(F.lit(weigh(c - 1) - weigh(c)) for c in range(WINDOW + 2)))
     codes = F.transform(F.split(piece, ""), lambda ch: F.instr(F.lit(ALPHABET), ch))
-    later = F.flatten(F.zip_with(F.slice(codes, WINDOW + 1, PIECE), F.slice(codes, 1, F.length(piece) - WINDOW), lambda i, o: F.array(i, -o)))
+    later = F.flatten(F.zip_with(F.slice(codes, WINDOW + 1, PIECE), F.slice(codes, 1, F.greatest(F.length(piece) - WINDOW, F.lit(0))), lambda i, o: F.array(i, -o)))
     events = F.concat(F.slice(codes, 1, WINDOW), F.array(F.lit(0)), later)
 
     def step(a: Column, e: Column) -> Column:
