@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.schemas import SCHEMAS
+from .skew import join_by_key
 
 #: What the answers to a scan say; fixed values.
 SAVED = "Grade saved successfully."
@@ -54,14 +55,16 @@ def grade(submissions: DataFrame, registry: DataFrame) -> DataFrame:
     """Submissions with verdict and previous_score.
 
     The first complete scan of each registered (session, student) is found by a sum before the shuffle and
-    joined back; rows of a student scanned very often may be split by the engine, which no window allows.
+    joined back; scans of a pair that is scanned very often are dealt to many tasks, which no window allows.
     """
     known = registry.select(F.col("student_id")).distinct().withColumn("_found", F.lit(True))
-    rows = submissions.join(known, "student_id", "left").withColumn("_found", F.coalesce("_found", F.lit(False))).withColumn("_valid", complete(submissions))
+    counts = submissions.groupBy("student_id").agg(F.count(F.lit(1)).alias("_n"))
+    looked_up = join_by_key(submissions, counts.join(known, "student_id", "left"), ["student_id"], "_n", F.col("seq"))
+    rows = looked_up.withColumn("_found", F.coalesce("_found", F.lit(False))).withColumn("_valid", complete(submissions))
     keys = ["session_id", "student_id"]
-    counted = rows.filter("_found AND _valid")
-    first = counted.groupBy(*keys).agg(F.min("seq").alias("_first"), F.min_by("total_score", "seq").alias("_score"))
-    joined = rows.join(first, keys, "left")
+    counted = F.when(F.col("_found") & F.col("_valid"), F.col("seq"))
+    first = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(counted).alias("_first"), F.min_by("total_score", counted).alias("_score"))
+    joined = join_by_key(rows, first, keys, "_n", F.col("seq"))
     return joined.withColumn("verdict", verdict(F.col("_found"), F.col("_valid"), F.col("_first"), F.col("seq"))).withColumn("previous_score", F.col("_score")).drop("_found", "_valid", "_first", "_score")
 
 

@@ -23,13 +23,24 @@ def client_responses(spark, sf_dir):
     return grading.response(grading.grade(grading.parse_payloads(rows), fx.registry(spark, sf_dir))).select("seq", "client_id", "status")
 
 
+def _stored(spark, sf_dir, base, times):
+    """A store that `times` streams, each with a checkpoint of its own, have filled from all messages."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    held = spark.conf.get(provider)
+    spark.conf.set(provider, stream.ROCKS)
+    try:
+        for i in range(times):
+            source = stream.read_messages(spark, f"{sf_dir}/event[s].parquet", spark.read.parquet(f"{sf_dir}/events.parquet").schema)
+            graded = stream.grade_stream_from(stream.read_payloads(fx.event_messages(source), "payload"), fx.registry(spark, sf_dir), stream.read_store(spark, f"{base}/grades"))
+            stream.run_to_store(graded, f"{base}/grades", f"{base}/state-{i}").awaitTermination()
+    finally:
+        spark.conf.set(provider, held)
+    return stream.read_store(spark, f"{base}/grades")
+
+
 def stored_stream(spark, sf_dir):
-    """Grades that a stream has written to the store, batch by batch, with dense scan ids."""
-    source = stream.read_messages(spark, f"{sf_dir}/event[s].parquet", spark.read.parquet(f"{sf_dir}/events.parquet").schema)
-    graded = stream.grade_stream(stream.read_payloads(fx.event_messages(source), "payload"), fx.registry(spark, sf_dir))
-    base = shared_folder(spark)
-    stream.run_to_store(graded, f"{base}/grades", f"{base}/state").awaitTermination()
-    return stream.read_store(spark, f"{base}/grades").select("scan_id", "session_id", "student_id", "final_score")
+    """Grades that streams have written to the store whole, with dense scan ids; a second stream with a new checkpoint finds all of them there and adds none."""
+    return _stored(spark, sf_dir, shared_folder(spark), 2).select(*schemas.schema("grades").names[:-1], F.col("timestamp").isNotNull().alias("timed"))
 
 
 def line_stream(spark, sf_dir):
@@ -95,7 +106,8 @@ def packet_lines(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (client_responses, stored_stream, line_stream, stored_defaults, config_merge, workbook_round_trip, sql_source, stored_tables, packet_lines)}
 ORACLE = {
     "client_responses": f"{_VERDICT_SQL} SELECT seq, 'client-' || seq % 7 AS client_id, CASE WHEN verdict = 'success' THEN 'success' ELSE 'error' END AS status FROM graded",
-    "stored_stream": f"{_VERDICT_SQL} SELECT row_number() OVER (ORDER BY seq) AS scan_id, session_id, student_id, total_score AS final_score FROM graded WHERE verdict = 'success'",
+    "stored_stream": f"""{_VERDICT_SQL} SELECT row_number() OVER (ORDER BY seq) AS scan_id, session_id, student_id, CAST(mcq_score AS DOUBLE) AS mcq_score, CAST(essay_total AS DOUBLE) AS essay_total, total_score AS final_score,
+CASE WHEN n_mistakes = 0 THEN '[]' ELSE '[{{"q":' || k || ',"student_ans":"A","correct_ans":"C"}},{{"q":7,"correct_ans":"D"}}]' END AS mistakes_log, true AS timed FROM graded WHERE verdict = 'success'""",
     "line_stream": f"WITH {fx.SCANS_SQL} SELECT seq, 'client-' || seq % 3 AS client_id, session_id, total_score FROM scans",
     "stored_defaults": f"{_VERDICT_SQL} SELECT row_number() OVER (ORDER BY seq) AS scan_id, CAST(essay_total AS DOUBLE) AS essay_total, n_mistakes = 0 AS no_mistakes, true AS timed FROM graded WHERE verdict = 'success'",
     "config_merge": "SELECT 'Midterm' AS project_name, 'Exam Mode' AS mode, CAST(30 AS INTEGER) AS mcq_count, 't.jpg' AS template_path, CAST(30 AS INTEGER) AS w, CAST(40 AS INTEGER) AS h, CAST(NULL AS BOOLEAN) AS has_essays",

@@ -6,21 +6,28 @@ state grows with distinct pairs. `watermark` bounds it where that is acceptable,
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ..operators.grading import complete, numbered, parse_payloads
+from ..operators.grading import complete, essay_total, numbered, parse_payloads
 from ..sources.config import exists
+from ..sources.schemas import SCHEMAS, schema
 
 #: Answers of one pair that leave a task at once.
 PART = 10_000
 GRADED = "seq bigint, session_id string, student_id string, total_score double, verdict string, previous_score double"
+#: What a grade keeps of its message beside the total.
+DETAILS = "mcq_score double, essay_total double, mistakes_log string"
+STORED = SCHEMAS["grades"]
 
 
 def read_messages(spark: SparkSession, path: str, schema: StructType, **options: str) -> DataFrame:
@@ -77,6 +84,59 @@ def grade_stream(submissions: DataFrame, registry: DataFrame) -> DataFrame:
     return rows.groupBy("session_id", "student_id").applyInPandasWithState(_first_wins, GRADED, "score double", "append", GroupStateTimeout.NoTimeout)
 
 
+class _FirstScan(StatefulProcessor):
+    """Verdicts of one pair's messages in a keyed value that starts from the pair's stored grade; details stay with the messages that count."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.score = handle.getValueState("score", "score double")
+
+    def handleInitialState(self, key: tuple, initial: pd.DataFrame, timer: Any) -> None:
+        self.score.update((float(initial["final_score"].iloc[0]),))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:
+        score = self.score.get()[0] if self.score.exists() else None
+        parts = list(rows)
+        numbers = ["seq", "total_score", "found", "valid"]
+        seq, total, found, valid = (np.concatenate([p[c].to_numpy() for p in parts]) for c in numbers)
+        counts = np.flatnonzero(found.astype(bool) & valid.astype(bool)) if score is None else np.zeros(0, np.int64)
+        first = seq[counts].min() if counts.size else None
+        if counts.size:
+            score = float(total[counts][np.argmin(seq[counts])])
+            self.score.update((score,))
+        for p in parts:
+            new = p["seq"].to_numpy() == first if first is not None else np.zeros(len(p), bool)
+            later = p["seq"].to_numpy() > first if first is not None else np.full(len(p), score is not None)
+            verdicts = np.select([~p["found"].to_numpy(bool), later, new], ["id_not_found", "duplicate_id", "success"], "invalid_payload").astype(object)
+            out = p.assign(verdict=verdicts, previous_score=np.where(verdicts == "duplicate_id", np.nan if score is None else score, np.nan))
+            for c in DETAIL_NAMES:
+                out[c] = out[c].where(verdicts == "success", None)
+            yield out[[*GRADED_NAMES, *DETAIL_NAMES]]
+
+    def close(self) -> None:
+        pass
+
+
+GRADED_NAMES, DETAIL_NAMES = ([f.split()[0] for f in x.split(", ")] for x in (GRADED, DETAILS))
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def grade_stream_from(submissions: DataFrame, registry: DataFrame, stored: DataFrame) -> DataFrame:
+    """As `grade_stream`, on top of the grades that are `stored`: a stream with a new checkpoint knows who has been graded.
+
+    Rows carry the details of a grade where the verdict is success. State is a keyed value in RocksDB, which the session must name as its
+    provider of state (`spark.sql.streaming.stateStore.providerClass`); the stored grades are dealt to it once, as the stream begins.
+    """
+    spark = submissions.sparkSession
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if spark.conf.get(name) != ROCKS:
+        raise ValueError(f"set {name} to {ROCKS}")
+    logged = submissions.withColumn("essay_total", essay_total(F.col("essay_scores"))).withColumn("mistakes_log", F.to_json("mistakes"))
+    rows = with_registry(logged, registry).select("seq", "session_id", "student_id", "total_score", "found", "valid", *DETAIL_NAMES)
+    # one grade for each pair, the first
+    known = stored.groupBy("session_id", "student_id").agg(F.min_by("final_score", "scan_id").alias("final_score"))
+    return rows.groupBy("session_id", "student_id").transformWithStateInPandas(_FirstScan(), f"{GRADED}, {DETAILS}", "append", "none", known.groupBy("session_id", "student_id"))
+
+
 def accepted_stream(submissions: DataFrame, registry: DataFrame, watermark: tuple[str, str] | None = None) -> DataFrame:
     """Only the scans that count, by the engine's own state: one of each pair, of an earlier micro-batch before a later one and any within one."""
     rows = with_registry(submissions, registry).filter("found AND valid")
@@ -92,28 +152,48 @@ def run_to_files(stream: DataFrame, out: str, checkpoint: str, available_now: bo
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def _next_id(spark: SparkSession, path: str, stream: str, number: int) -> int:
+    """The scan ids given before a batch of a stream, from the names of the store's folders: no grade is read."""
+    if not exists(spark, path):
+        return 0
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    found = [dict(x.split("=", 1) for x in n.split(",")) for n in names if n.startswith("upto=")]
+    return max((int(x["upto"]) for x in found if (x["stream"], int(x["batch"])) != (stream, number)), default=0)
+
+
 def run_to_store(graded: DataFrame, path: str, checkpoint: str, available_now: bool = True):
-    """Starts a stream of verdicts that adds the grades that count to the store at `path`, in a folder for each batch.
+    """Starts a stream of verdicts with details (`grade_stream_from`) that adds the grades that count to the store at `path`, as SCHEMAS["grades"] has them.
 
-    A batch that runs again after a failure replaces its own folder, so that every grade is there once. Scan ids
-    go on from those of earlier batches, in order of arrival.
+    A batch is a folder whose name has the last scan id, the stream (by its checkpoint) and the batch's number. It is written elsewhere and then
+    renamed, so that readers see all of it or nothing; a batch that runs again finds its folder and leaves it. Scan ids go on from the
+    greatest that a name has, in order of arrival.
     """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        kept = batch.filter("verdict = 'success'").select("seq", "session_id", "student_id", F.col("total_score").alias("final_score"))
-        before = 0
-        if exists(spark, path):
-            earlier = read_store(spark, path).filter(F.col("batch") < number)
-            before = earlier.agg(F.coalesce(F.max("scan_id"), F.lit(0))).first()[0]
+        fs_path = spark._jvm.org.apache.hadoop.fs.Path
+        fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        done = fs.globStatus(fs_path(f"{path}/upto=*,stream={stream},batch={number}"))
+        if done:
+            return
+        before = _next_id(spark, path, stream, number)
+        kept = batch.filter("verdict = 'success'").withColumnRenamed("total_score", "final_score").withColumn("timestamp", F.current_timestamp())
         rows = numbered(kept.persist(), "seq", "scan_id").withColumn("scan_id", F.col("scan_id") + before)
-        rows.drop("seq").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last = before + kept.count()
+        written = f"{path}/_new-{stream}-{number}"
+        rows.select(*schema("grades").names).write.mode("overwrite").parquet(written)
         kept.unpersist()
+        if not fs.rename(fs_path(written), fs_path(f"{path}/upto={last},stream={stream},batch={number}")):
+            raise OSError(f"{written} could not be renamed")
 
     writer = graded.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """Grades that `run_to_store` has written, with the batch of each."""
-    return spark.read.schema("session_id string, student_id string, final_score double, scan_id bigint, batch bigint").parquet(path)
+    """Grades that streams have written; none where no store is."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], STORED)
+    return spark.read.schema(STORED).option("recursiveFileLookup", "true").parquet(path)

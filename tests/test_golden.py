@@ -413,9 +413,39 @@ def test_first_sheet_is_the_workbooks_first(tmp_path):
 
 
 def test_store_keeps_a_batch_that_runs_again_once(spark, tmp_path):
-    shape = "seq long, session_id string, student_id string, total_score double, verdict string, previous_score double"
-    spark.createDataFrame([(3, "s", "b", 2.0, "success", None), (1, "s", "a", 1.0, "success", None), (2, "s", "a", 1.0, "duplicate_id", 1.0)], shape).write.parquet(str(tmp_path / "in"))
-    for _ in range(2):  # without its log the stream takes the batch for a new one
+    shape = f"{submissions.GRADED}, {submissions.DETAILS}"
+    rows = [(3, "s", "b", 2.0, "success", None, 2.0, 0.0, "[]"), (1, "s", "a", 1.0, "success", None, 1.0, 0.0, "[]"), (2, "s", "a", 1.0, "duplicate_id", 1.0, None, None, None)]
+    spark.createDataFrame(rows, shape).write.parquet(str(tmp_path / "in"))
+    for _ in range(2):
         graded = spark.readStream.schema(shape).parquet(str(tmp_path / "in"))
-        submissions.run_to_store(graded, str(tmp_path / "store"), str(tmp_path / uuid.uuid4().hex)).awaitTermination()
+        submissions.run_to_store(graded, str(tmp_path / "store"), str(tmp_path / "state")).awaitTermination()
+        for done in (tmp_path / "state" / "commits").iterdir():  # as if it had failed before the batch was noted down
+            done.unlink()
     assert sorted((r.scan_id, r.student_id) for r in submissions.read_store(spark, str(tmp_path / "store")).collect()) == [(1, "a"), (2, "b")]
+    assert len([x for x in os.listdir(tmp_path / "store") if x.startswith("upto=")]) == 1
+
+
+def test_a_new_checkpoint_knows_stored_grades(spark, tmp_path):
+    held = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    sent = lambda seq, student, score: (seq, json.dumps({"session_id": "s", "student_id": student, "mcq_score": score, "essay_scores": [0.5], "total_score": score + 0.5, "mistakes": [{"q": 1, "student_ans": "A", "correct_ans": "B"}]}))
+    registry = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C")], "student_id string, student_name string")
+    said = []
+    with pytest.raises(ValueError):
+        submissions.grade_stream_from(submissions.read_payloads(spark.readStream.schema("seq long, value string").parquet(str(tmp_path))), registry, submissions.read_store(spark, str(tmp_path / "none")))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", submissions.ROCKS)
+    try:
+        for turn, messages in enumerate([[sent(2, "a", 5.0), sent(1, "a", 7.0), sent(3, "b", 1.0), sent(4, "x", 1.0)], [sent(10, "a", 9.0), sent(11, "c", 3.0), sent(12, "c", 4.0)]]):
+            folder = str(tmp_path / f"in{turn}")
+            spark.createDataFrame(messages, "seq long, value string").write.parquet(folder)
+            source = spark.readStream.schema("seq long, value string").parquet(folder)
+            stored = submissions.read_store(spark, str(tmp_path / "store"))
+            graded = submissions.grade_stream_from(submissions.read_payloads(source), registry, stored)
+            submissions.run_to_files(graded, str(tmp_path / f"out{turn}"), str(tmp_path / f"answers{turn}")).awaitTermination()
+            submissions.run_to_store(graded, str(tmp_path / "store"), str(tmp_path / f"state{turn}")).awaitTermination()
+            said += [(r.seq, r.verdict, r.previous_score) for r in spark.read.parquet(str(tmp_path / f"out{turn}")).collect()]
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", held)
+    assert sorted(said) == [(1, "success", None), (2, "duplicate_id", 7.5), (3, "success", None), (4, "id_not_found", None), (10, "duplicate_id", 7.5), (11, "success", None), (12, "duplicate_id", 3.5)]
+    rows = sorted(tuple(r)[:6] for r in submissions.read_store(spark, str(tmp_path / "store")).collect())
+    assert rows == [(1, "s", "a", 7.0, 0.5, 7.5), (2, "s", "b", 1.0, 0.5, 1.5), (3, "s", "c", 3.0, 0.5, 3.5)]
+    assert {r.mistakes_log for r in submissions.read_store(spark, str(tmp_path / "store")).collect()} == {'[{"q":1,"student_ans":"A","correct_ans":"B"}]'}
