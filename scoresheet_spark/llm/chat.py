@@ -2,8 +2,8 @@
 
 A conversation is a log of events: `message` (a whole turn), `delta` (text appended to a turn), `edit` (new
 text for a turn) and `regenerate` (a turn starts anew). An event says which turn it acts on by that turn's
-sequence number; without one a delta and an edit act on the latest turn, and a regeneration on the latest
-assistant turn. The log is partitioned by conversation, sorted by sequence number and folded into the final
+sequence number; without one a regeneration acts on the latest assistant turn, which it makes the latest turn
+again, and deltas and edits act on the latest turn of their role, or of all where none has it. The log is partitioned by conversation, sorted by sequence number and folded into the final
 messages, which are rendered with a template that marks turns and escapes every control string inside roles
 and texts.
 
@@ -109,9 +109,14 @@ def _aimed(rows: DataFrame) -> DataFrame:
     # a struct, so that the number itself may be null
     opened = F.struct(F.when(message, F.col("seq")).otherwise(F.coalesce("target", "seq")).alias("seq"))
     rows = rows.withColumn("_opened", F.when(opens, opened))
-    rows = rows.withColumn("_latest", F.last("_opened", True).over(before)).withColumn("_answer", F.last(F.when(answers & opens, F.col("_opened")), True).over(before))
+    rows = rows.withColumn("_answer", F.last(F.when(answers & opens, F.col("_opened")), True).over(before))
+    again = F.when(F.col("event") == "regenerate", F.when(F.col("target").isNotNull(), F.struct(F.col("target").alias("seq"))).otherwise(F.col("_answer")))
+    rows = rows.withColumn("_begun", F.coalesce("_opened", again))
+    of_role = Window.partitionBy("conv", "role").orderBy("seq", F.col("event") != "message", "text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_latest", F.last("_begun", True).over(before)).withColumn("_same", F.last("_begun", True).over(of_role))
     own = F.when(F.col("_opened").isNotNull(), F.col("_opened.seq"))
-    aim = own.when(F.col("target").isNotNull(), F.col("target")).when(restart, F.col("_answer.seq")).otherwise(F.col("_latest.seq"))
+    said = F.when(F.col("_same").isNotNull(), F.col("_same.seq")).otherwise(F.col("_latest.seq"))
+    aim = own.when(F.col("target").isNotNull(), F.col("target")).when(restart, F.col("_answer.seq")).otherwise(said)
     return rows.withColumn("aim", aim)
 
 

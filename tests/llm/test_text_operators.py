@@ -356,3 +356,16 @@ def test_key_dense_texts_take_no_square(spark):
     assert [(x["start"], x["end"]) for x in got[2][1]] == [(0, 300_000)]
     starts = [m.start() for m in re.finditer("password=", dense)]
     assert [x["start"] for x in got[1][1] if x["kind"] == "assign"] == starts
+
+
+def test_streamed_regenerations_stay_out_of_other_turns(spark):
+    log = [
+        (1, 1, "message", "user", "a"), (1, 2, "message", "assistant", "b"), (1, 3, "message", "user", "q"), (1, 4, "regenerate", "assistant", "E"), (1, 5, "delta", "assistant", "F"),
+        (1, 6, "delta", "user", "r"), (1, 7, "edit", "assistant", "G"), (1, 8, "delta", None, "H"),
+        (2, 1, "message", "user", "a"), (2, 2, "delta", "assistant", "b"), (2, 3, "regenerate", "assistant", "c"), (2, 4, "delta", "assistant", "d"), (2, 5, "delta", "user", "e"),
+    ]
+    df = spark.createDataFrame(log, "conv_id long, seq long, event string, role string, text string").withColumn("target", F.lit(None).cast("long"))
+    got = {}
+    for r in chat.format_conversations(df, seq="seq", event="event", target="target").orderBy("conv_id", "part").collect():
+        got.setdefault(r.conv_id, []).extend(chat.parse(r.formatted))
+    assert got == {1: [("user", "a"), ("assistant", "GH"), ("user", "qr")], 2: [("user", "abe"), ("assistant", "cd")]}
