@@ -11,6 +11,7 @@ from ..sources import config as configs
 from ..sources import schemas, workbook
 from ..sources.packets import PacketServer
 from ..sources.paths import shared_folder
+from ..sources.versions import VersionedTable
 from ..streaming import submissions as stream
 from . import fixtures as fx
 from .grading_queries import _VERDICT_SQL
@@ -43,6 +44,50 @@ def stored_stream(spark, sf_dir):
     return _stored(spark, sf_dir, shared_folder(spark), 2).select(*schemas.schema("grades").names[:-1], F.col("timestamp").isNotNull().alias("timed"))
 
 
+def _imported(spark, sf_dir):
+    """A roster's table in versions: the roster as it was, then imports up to 1994, then later ones, which are committed twice."""
+    rows = fx.roster(spark, sf_dir).withColumn("seq", F.lit(0))
+    table = VersionedTable.create(spark, f"{shared_folder(spark)}/roster", rows.drop("seq").schema, ["student_id"], 16)
+    table.put(rows, "seq", "roster")
+    dates = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), (F.year("o_orderdate") > 1994).alias("late"))
+    imports = fx.imports(spark, sf_dir).join(dates, "seq")
+    for name in ("early", "late", "late"):
+        table.put(imports.filter(F.col("late") == (name == "late")), "seq", name)
+    return table
+
+
+def import_commits(spark, sf_dir):
+    """The roster after two imports, each one commit; one that is committed again changes nothing."""
+    return _imported(spark, sf_dir).read()
+
+
+def import_history(spark, sf_dir):
+    """Students in each version of the roster."""
+    return _imported(spark, sf_dir).history().select("number", "n_rows")
+
+
+def _two_streams(spark, sf_dir):
+    """Grades of one table in versions to which two streams have added, each from nothing and over all messages."""
+    base, kinds = shared_folder(spark), schemas.schema("grades")
+    table = VersionedTable.create(spark, f"{base}/grades", kinds, ["session_id", "student_id"], 16)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    held = spark.conf.get(provider)
+    spark.conf.set(provider, stream.ROCKS)
+    try:
+        for i in range(2):
+            source = stream.read_messages(spark, f"{sf_dir}/event[s].parquet", spark.read.parquet(f"{sf_dir}/events.parquet").schema)
+            graded = stream.grade_stream_from(stream.read_payloads(fx.event_messages(source), "payload"), fx.registry(spark, sf_dir), schemas.empty(spark, "grades"))
+            stream.run_to_versions(graded, table, f"{base}/state-{i}").awaitTermination()
+    finally:
+        spark.conf.set(provider, held)
+    return table.read()
+
+
+def versioned_grades(spark, sf_dir):
+    """Grades of a table in versions: two streams that know nothing of each other leave one grade a pair, with dense scan ids."""
+    return _two_streams(spark, sf_dir).select(*schemas.schema("grades").names[:-1], F.col("timestamp").isNotNull().alias("timed"))
+
+
 def line_stream(spark, sf_dir):
     """Messages as lines of text files, read as a stream: answers' verdicts."""
     base = shared_folder(spark)
@@ -103,8 +148,12 @@ def packet_lines(spark, sf_dir):
     return p.select("exam_name", "exam_mode", "mcq_count", "template_path", "group_name", F.size("roster").cast("bigint").alias("n_students"), F.lit(none).cast("bigint").alias("n_empty"))
 
 
-QUERIES = {f.__name__: f for f in (client_responses, stored_stream, line_stream, stored_defaults, config_merge, workbook_round_trip, sql_source, stored_tables, packet_lines)}
+QUERIES = {f.__name__: f for f in (client_responses, stored_stream, import_commits, import_history, versioned_grades, line_stream, stored_defaults, config_merge, workbook_round_trip, sql_source, stored_tables, packet_lines)}
+_DATED_SQL = f"""{fx.ROSTER_SQL}, {fx.IMPORTS_SQL}, given AS (SELECT student_id, student_name, is_present, group_name, 1 AS number, 0 AS seq FROM roster
+UNION ALL SELECT student_id, student_name, is_present, group_name, CASE WHEN year(o_orderdate) > 1994 THEN 3 ELSE 2 END, seq FROM imports JOIN orders ON o_orderkey = seq)"""
 ORACLE = {
+    "import_commits": f"WITH {_DATED_SQL} SELECT student_id, student_name, is_present, group_name FROM given QUALIFY row_number() OVER (PARTITION BY student_id ORDER BY number DESC, seq DESC) = 1",
+    "import_history": f"WITH {_DATED_SQL} SELECT CAST(v.number AS BIGINT) AS number, count(DISTINCT student_id) AS n_rows FROM range(0, 4) v(number) LEFT JOIN given ON given.number <= v.number GROUP BY v.number",
     "client_responses": f"{_VERDICT_SQL} SELECT seq, 'client-' || seq % 7 AS client_id, CASE WHEN verdict = 'success' THEN 'success' ELSE 'error' END AS status FROM graded",
     "stored_stream": f"""{_VERDICT_SQL} SELECT row_number() OVER (ORDER BY seq) AS scan_id, session_id, student_id, CAST(mcq_score AS DOUBLE) AS mcq_score, CAST(essay_total AS DOUBLE) AS essay_total, total_score AS final_score,
 CASE WHEN n_mistakes = 0 THEN '[]' ELSE '[{{"q":' || k || ',"student_ans":"A","correct_ans":"C"}},{{"q":7,"correct_ans":"D"}}]' END AS mistakes_log, true AS timed FROM graded WHERE verdict = 'success'""",
@@ -118,3 +167,4 @@ CASE WHEN n_mistakes = 0 THEN '[]' ELSE '[{{"q":' || k || ',"student_ans":"A","c
     "packet_lines": f"""WITH {fx.ROSTER_SQL} SELECT 'Midterm' AS exam_name, 'Quiz Mode' AS exam_mode, CAST(40 AS INTEGER) AS mcq_count, '' AS template_path, '{GROUP}' AS group_name,
 count(*) AS n_students, CAST(0 AS BIGINT) AS n_empty FROM roster WHERE group_name = '{GROUP}'""",
 }
+ORACLE["versioned_grades"] = ORACLE["stored_stream"]

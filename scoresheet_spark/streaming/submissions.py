@@ -21,6 +21,7 @@ from pyspark.sql.types import StructType
 from ..operators.grading import complete, essay_total, numbered, parse_payloads
 from ..sources.config import exists
 from ..sources.schemas import SCHEMAS, schema
+from ..sources.versions import VersionedTable
 
 #: Answers of one pair that leave a task at once.
 PART = 10_000
@@ -192,6 +193,22 @@ def run_to_store(graded: DataFrame, path: str, checkpoint: str, available_now: b
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def run_to_versions(graded: DataFrame, table: VersionedTable, checkpoint: str, available_now: bool = True):
+    """Starts a stream of verdicts with details (`grade_stream_from`) that adds the grades that count to a table in versions, keyed by session and student.
+
+    Each batch is a commit by the name of its stream and number, so that one that runs again changes nothing. Several streams may add to
+    one table: of two grades of a pair the one committed first stays, and scan ids have neither gaps nor repeats.
+    """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def store(batch: DataFrame, number: int) -> None:
+        kept = batch.filter("verdict = 'success'").withColumnRenamed("total_score", "final_score").withColumn("timestamp", F.current_timestamp())
+        table.add(kept, "seq", f"{stream}/{number}", "scan_id")
+
+    writer = graded.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """Grades that streams have written; none where no store is."""
     if not exists(spark, path):
