@@ -122,6 +122,11 @@ def nms_kept(spark, sf_dir):
     return detect.suppress(detect.raw_candidates(fx.raw_grid(spark, sf_dir))).select("image_id", "anchor_id", "class_id")
 
 
+def nms_crowded(spark, sf_dir):
+    """Suppression by cells of size and place: the survivors of `nms_kept`."""
+    return detect.suppress_crowded(detect.raw_candidates(fx.raw_grid(spark, sf_dir))).select("image_id", "anchor_id", "class_id")
+
+
 def decode_layouts(spark, sf_dir):
     """Whole outputs of both layouts through the dispatcher: detections of each image."""
     final = fx.final_rows(spark, sf_dir, 7).groupBy((-F.col("image_id") - 1).alias("image_id"), "width", "height").agg(F.array_sort(F.collect_list(F.struct(F.col("anchor_id").cast("bigint").alias("anchor_id"), "v"))).alias("r"))
@@ -139,7 +144,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         class_names, class_append, class_delete, image_catalogue, unlabelled_images, annotations_per_image, label_format, label_parse, label_file_text, letterbox_params,
-        roi_truncate, roi_rotate, rect_edit, decode_end2end, decode_end2end_six, decode_raw_candidates, nms_kept, decode_layouts, nav_ordinals,
+        roi_truncate, roi_rotate, rect_edit, decode_end2end, decode_end2end_six, decode_raw_candidates, nms_kept, nms_crowded, decode_layouts, nav_ordinals,
     )
 }
 
@@ -213,3 +218,4 @@ SELECT image_id, count(*) AS n, min(class_id) AS lowest_class FROM both_ WHERE x
     "nav_ordinals": """SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS ordinal, count(*) OVER () AS total,
 least(row_number() OVER (ORDER BY doc_id), count(*) OVER () - 1) AS next, greatest(row_number() OVER (ORDER BY doc_id) - 2, 0) AS previous FROM documents""",
 }
+ORACLE["nms_crowded"] = ORACLE["nms_kept"]
