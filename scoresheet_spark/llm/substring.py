@@ -11,7 +11,8 @@ least 25 words are removed: a passage of 50 words keeps that much even where the
 hold other text, and the lines that unrelated documents commonly share stay.
 
 Each document sends a digest once. Counts are summed on the map side, so a passage that a third of all
-documents hold reaches a task once for each partition; joins by digest are left to Spark's skew handling.
+documents hold reaches a task once for each partition. First documents of repeated digests are checkpointed, and the
+documents that hold a hot digest are dealt to many tasks when they meet its first.
 Texts meet their repeats in one shuffle by key, and chunks are cut again there.
 
 Edge cases: a null text has no chunks and stays null; rows with a null key are left as they are and do not
@@ -30,7 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import U64, mix64, slices, table, texts, values
+from ..operators.skew import join_by_key
+from .common import U64, mix64, settled, slices, table, texts, values
 
 #: Bytes that the gear hash sees, its leading zero bits at a cut, least bytes of a chunk that is evidence.
 WINDOW, ZERO_BITS, LEAST_BYTES = 16, 4, 16
@@ -114,12 +116,17 @@ def chunk_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return rows.mapInArrow(run, f"digest bigint, {key} bigint, chunk int")
 
 
+def repeat_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(digest, key, chunk, owner): chunks that a document with a smaller key, the owner, holds as well."""
+    sent = chunk_digests(docs, key, text)
+    owners = sent.groupBy("digest").agg(F.min(key).alias("owner"), F.max(key).alias("last"), F.count(F.lit(1)).alias("_n")).filter("owner < last")
+    owners, _ = settled(owners.drop("last"))
+    return join_by_key(sent, owners, ["digest"], "_n", F.col(key)).filter(F.col(key) > F.col("owner"))
+
+
 def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, repeats): numbers of the chunks that documents with smaller keys hold."""
-    sent = chunk_digests(docs, key, text)
-    owners = sent.groupBy("digest").agg(F.min(key).alias("owner"), F.max(key).alias("last")).filter("owner < last").select("digest", "owner")
-    later = sent.join(owners, "digest").filter(F.col(key) > F.col("owner"))
-    return later.groupBy(key).agg(F.collect_set("chunk").alias("repeats"))
+    return repeat_chunks(docs, key, text).groupBy(key).agg(F.collect_set("chunk").alias("repeats"))
 
 
 def repeated_spans(raw: bytes, begins: np.ndarray, ends: np.ndarray, repeat: np.ndarray) -> list[tuple[int, int]]:

@@ -303,6 +303,24 @@ def test_substrings_on_edges(spark, tmp_path):
     assert substring.dedup_substrings(edges(spark, "x", [])).count() == 0
 
 
+def test_a_passage_that_most_documents_hold_is_no_single_task(spark):
+    """Two thirds of all documents hold one passage; their chunks meet the first one's in all tasks."""
+    passage = " ".join(f"{w}{i}" for i in range(30) for w in ("shared", "passage"))
+    rows = [(i, f"{passage if i % 3 else ''} {' '.join(f'own{i}x{j}' for j in range(12))}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(held, ("-1", "false", "8"), strict=True):
+            spark.conf.set(k, v)
+        found = substring.repeat_chunks(docs)
+        sizes = [r.n for r in found.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.max(F.xxhash64(*found.columns))).collect()]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert len(sizes) == 8 and max(sizes) <= 2 * sorted(sizes)[4] and sum(sizes) >= 1999 * 3
+
+
+
 def test_spans_are_code_points(spark, tmp_path):
     rng = random.Random(3)
     passage = " ".join(f"é{w}" for w in words_of(rng, 70))
