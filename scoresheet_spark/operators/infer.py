@@ -78,21 +78,24 @@ def infer(images: DataFrame, load: Callable[[], Callable[[np.ndarray], np.ndarra
 
     `load` makes the model's run function in each worker; `read` turns bytes into an image, None if it can't:
     such images have null width, height and rows. Results leave in batches of about MOST_NUMBERS numbers.
+    Images are dealt by their path to the session's shuffle partitions first: a table of few bytes is one partition, whose model would run alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
         for batch in batches:
-            paths, sizes, outputs = [], [], []
+            paths, sizes, outputs, held = [], [], [], 0
             for i in range(batch.num_rows):  # one image's bytes at a time
                 image = read(batch.column(1)[i].as_py())
                 paths.append(batch.column(0)[i].as_py())
                 sizes.append(None if image is None else (image.shape[1], image.shape[0]))
                 outputs.append(np.zeros((0, 0), np.float32) if image is None else rows_of(model(tensor(fit(image, canvas)))))
-                if sum(m.size for m in outputs) >= MOST_NUMBERS:
+                held += outputs[-1].size
+                if held >= MOST_NUMBERS:
                     yield _batch(paths, sizes, outputs)
-                    paths, sizes, outputs = [], [], []
+                    paths, sizes, outputs, held = [], [], [], 0
             if paths:
                 yield _batch(paths, sizes, outputs)
 
-    return images.select("path", "content").mapInArrow(run, OUTPUT)
+    parts = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return images.select("path", "content").repartition(parts, "path").mapInArrow(run, OUTPUT)

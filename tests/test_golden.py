@@ -282,6 +282,13 @@ def test_auto_labelling(spark):
     assert set(by(autolabel.auto_label(images, filled, load, read, remaining_only=False, confidence=0.95, canvas=(64, 64)), "path", "text").values()) == {""}
 
 
+def test_the_model_runs_in_many_tasks_whatever_the_table(spark):
+    images = spark.range(0, 400, 1, 1).select(F.col("id").cast("string").alias("path"), F.lit(b"ok").alias("content"))
+    out = infer.infer(images, lambda: lambda t: np.ones((1, 1, 7), np.float32), lambda c: np.zeros((4, 4, 3), np.uint8), (8, 8))
+    tasks = out.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) == 4 and sum(r["count"] for r in tasks) == 400 and max(r["count"] for r in tasks) < 200
+
+
 def test_templates_are_turned_and_cut(spark):
     image = np.arange(5 * 7 * 3, dtype=np.uint8).reshape(5, 7, 3)
     rows = [("p", bytearray(b"x"), 1, 1, 2, 3, 4), ("q", bytearray(b"x"), 0, 90, 0, 3, 4), ("r", bytearray(b"bad"), 0, 0, 0, 1, 1)]
