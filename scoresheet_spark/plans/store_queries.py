@@ -115,10 +115,11 @@ def config_merge(spark, sf_dir):
 
 
 def workbook_round_trip(spark, sf_dir):
-    """A sheet written as a spreadsheet and read back as text."""
-    path = f"{shared_folder(spark)}/roster.xlsx"
-    workbook.write_workbook(fx.roster(spark, sf_dir).select("student_id", "student_name", F.col("group_name").alias("Group")), path)
-    return workbook.read_workbook(spark, path)
+    """A roster written as spreadsheets by the executors, as many as it fills, and read back as text."""
+    folder = f"{shared_folder(spark)}/roster"
+    rows = fx.roster(spark, sf_dir).select("student_id", "student_name", F.col("group_name").alias("Group"))
+    workbook.write_workbooks(rows.repartition("student_id"), folder)
+    return workbook.read_workbook(spark, folder)
 
 
 def sql_source(spark, sf_dir):

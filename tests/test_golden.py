@@ -364,6 +364,34 @@ def test_workbooks_round_trip(spark, tmp_path):
     assert workbook.read_workbook(spark, str(tmp_path / "book.csv")).columns == ["ID", "Name"]
 
 
+def test_workbooks_of_many_files_hold_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(workbook, "READ_ROWS", 7)
+    folder = str(tmp_path / "books")
+    df = spark.range(0, 230, 1, 3).select(F.col("id").cast("string").alias("ID"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("a & <"), "id")).alias("a.b"), (F.col("id") > 9).alias("late"))
+    workbook.write_workbooks(df, folder, 20)
+    books = [open(f"{folder}/{n}", "rb").read() for n in os.listdir(folder) if n.endswith(".xlsx")]
+    sizes = [len(workbook.parse_sheet(b)) for b in books]
+    assert len(books) == 12 and max(sizes) == 21 and sum(sizes) == 230 + 12
+    got = workbook.read_workbook(spark, folder)
+    assert got.columns == ["ID", "a.b", "late"]
+    assert sorted(map(tuple, got.collect())) == sorted((str(i), f"a & <{i}" if i % 3 else None, str(i > 9)) for i in range(230))
+    with pytest.raises(FileExistsError):
+        workbook.write_workbooks(df, folder)
+    workbook.write_workbooks(df.limit(0), f"{folder}-none")
+    assert workbook.read_workbook(spark, f"{folder}-none").count() == 0 and os.listdir(tmp_path).count("books-none") == 1
+
+
+def test_rows_of_a_sheet_are_parsed_as_they_are_asked_for():
+    import tracemalloc
+
+    content = workbook.build_sheet(["a"], ((str(i),) for i in range(20_000)))
+    tracemalloc.start()
+    assert sum(1 for _ in workbook.sheet_rows(content)) == 20_001
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3_000_000, peak
+
+
 def test_store_is_made_once(spark):
     schemas.create_store(spark, "store_test")
     schemas.create_store(spark, "store_test")
