@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
@@ -45,6 +45,8 @@ FIRST, WIDEST = -6, 16.0
 SMALL_BUCKET = 256
 #: Darts thrown at once, about.
 _GROUP_DARTS = 300_000
+#: Text bytes whose shingles a Python worker holds at once.
+_SLICE = 500_000
 _TINY = 1.0 / 2**53
 
 
@@ -152,19 +154,6 @@ def _contents(words: list[list[bytes]]) -> tuple[pa.Array, pa.Array]:
     return pa.array(low, pa.int64()), pa.array(top, pa.int64())
 
 
-def digested(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(row, content_a, content_b): every row of `docs` as a struct, and the digest of its text's words."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    schema = StructType([rows.schema["row"], StructField("content_a", LongType()), StructField("content_b", LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text):
-            words = [t.encode("utf-8", "surrogatepass").split() for t in texts(b, text)]
-            yield pa.RecordBatch.from_arrays([b.column("row"), *_contents(words)], names=schema.names)
-
-    return rows.mapInArrow(run, schema)
-
-
 def sign(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(`key` struct of the other columns, content, bands) of every row: a digest of its words and a hash of each band.
 
@@ -175,7 +164,7 @@ def sign(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = RO
     schema = StructType([*src.schema.fields[:-1], StructField("content_a", LongType()), StructField("content_b", LongType()), StructField("bands", ArrayType(LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most=_SLICE):
             hashes, sizes, words = shingles(texts(b))
             elements, weights, n = counted(hashes, sizes)
             at, out = np.r_[0, np.cumsum(n)], np.zeros((len(n), bands), np.int64)
@@ -198,7 +187,7 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
     """(key, content_a, content_b, elements): the shingles of every text of `rows` (key, text), a shingle's further occurrences as elements of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most=_SLICE):
             hashes, sizes, words = shingles(texts(b))
             elements, weights, n = counted(hashes, sizes)
             times = weights.astype(np.int64)
@@ -351,13 +340,18 @@ def find_links(contents: DataFrame, rows: DataFrame) -> DataFrame:
     return classes
 
 
+def _written(text: str) -> Column:
+    """A digest of a text as it is written: of equal ones the words are equal, too."""
+    return F.md5(F.col(f"`{text}`").cast("binary"))
+
+
 def _classified(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (key, content_a, content_b) in a checkpoint, pairs (key, content_a, content_b, n) with how many rows have each, and contents (content_a, content_b, class_id, chosen).
+    """Rows (key, written, content_a, content_b) in a checkpoint, pairs (key, content_a, content_b, n) with how many rows have each, and contents (content_a, content_b, class_id, chosen).
 
     `chosen` is a struct of the class's first key in that one of its contents that has it, else null.
     """
     rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text"))
-    signed, _ = settled(sign(rows))
+    signed, _ = settled(sign(rows.withColumn("written", _written("text"))))
     # bands are a function of the content, so any copy's will do
     pairs = signed.filter(F.col("content_a").isNotNull()).groupBy("content_a", "content_b", "key").agg(F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
     ahead = [F.col("key").isNull().alias("last"), "key"]
@@ -382,17 +376,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each class of copies and near copies, and all rows without words.
 
-    It is one with the class's least key, null last; where rows share it, one of its first content.
+    It is one with the class's least key, null last; where rows share it, one of its first content. Rows are found again by their key and
+    what is written in them, so that no row passes through Python a second time.
     """
-    _, pairs, named = _classified(docs, key, text)
+    signed, pairs, named = _classified(docs, key, text)
     marked, _ = settled(pairs.join(named, ["content_a", "content_b"]).withColumn("kept", F.col("chosen").isNotNull() & F.col("chosen.key").eqNullSafe(F.col("key"))))
-    rows = digested(docs, text).withColumn("key", F.col(f"row.`{key}`").cast("bigint"))
-    rows = _among(rows, small(marked.filter(~F.col("kept")).select("key", "content_a", "content_b")), "left_anti")
-    again = marked.filter(F.col("kept") & (F.col("n") > 1)).select("key", "content_a", "content_b")
-    if again.limit(1).count():  # rows that are equal, key and all
-        once = _among(rows, again, "left_semi").groupBy("key", "content_a", "content_b").agg(F.first("row").alias("row"))
-        rows = _among(rows, again, "left_anti").select("row").unionByName(once.select("row"))
-    return rows.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    kept = F.col("kept") & (F.col("n") == 1)
+    others = marked.filter(~kept).select("key", "content_a", "content_b", F.col("kept").alias("again"))  # rows to drop, and those that are equal, key and all
+    others = others.withColumnsRenamed({c: f"_{c}" for c in ("key", "content_a", "content_b")})
+    same = signed["key"].eqNullSafe(others["_key"]) & (signed["content_a"] == others["_content_a"]) & (signed["content_b"] == others["_content_b"])
+    found, _ = settled(signed.join(others, same).select("key", "written", "content_a", "content_b", "again").distinct())
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{key}`").cast("bigint").alias("key"), _written(text).alias("written"))
+
+    def joined(found: DataFrame, how: str) -> DataFrame:
+        told = found.withColumnsRenamed({"key": "_key", "written": "_written"})
+        return rows.join(told, rows["key"].eqNullSafe(told["_key"]) & (rows["written"] == told["_written"]), how)
+
+    out = joined(small(found.select("key", "written")), "left_anti").select("row")
+    again = found.filter("again").drop("again")
+    if again.limit(1).count():
+        out = out.unionByName(joined(again, "inner").groupBy("key", "content_a", "content_b").agg(F.first("row").alias("row")).select("row"))
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

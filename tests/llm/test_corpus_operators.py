@@ -169,6 +169,15 @@ def test_repeated_keys_and_dotted_columns(spark):
     assert [tuple(r) for r in twice.collect()] == [(8, a + " b", *more)]
 
 
+def test_rows_are_kept_without_a_second_pass_of_python(spark):
+    a, b = (" ".join(words_of(random.Random(i), 40)) for i in range(2))
+    rows = [(1, a), (1, f"  {a} "), (1, a), (2, a.replace(" ", "\n")), (None, b), (None, f"{b}\t"), (3, ""), (3, None), (3, " ")]
+    kept = neardup.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = Counter((k, t if t is None else " ".join(t.split())) for k, t in kept.collect())
+    assert found == Counter({(1, a): 1, (None, b): 1, (3, ""): 2, (3, None): 1})
+    assert not re.search("Python|Pandas|Arrow", kept._jdf.queryExecution().executedPlan().toString())
+
+
 # --- substrings
 
 
